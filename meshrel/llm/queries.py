@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_mixture, packing, quality_knn, quality_rules, sentencepiece_viterbi, toxicity_cnn
+from . import embedding_dedup, language_mixture, line_dedup, minhash_dedup, packing, quality_knn, quality_rules, sentencepiece_viterbi, substring_dedup, toxicity_cnn
 from .tables import table
 
 
@@ -13,6 +13,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.encode(table(spark, sf_dir, "documents"), keep_ids=False)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the line numbers that fuzzy line dedup removes."""
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_knn.classify(docs, quality_knn.fit(docs, table(spark, sf_dir, "labels")))
@@ -23,6 +28,18 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(table(spark, sf_dir, "embeddings"))
+
+
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.components(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op8_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity_cnn.classify(docs, toxicity_cnn.fit(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +56,20 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sentencepiece, op3_quality_knn, op4_quality_rules, op8_toxicity_cnn, op9_best_fit_packing, op10_language_mixture)
+    for f in (op1_sentencepiece, op2_line_dedup, op3_quality_knn, op4_quality_rules, op5_substring_dedup, op6_embedding_dedup, op7_minhash_dedup, op8_toxicity_cnn, op9_best_fit_packing, op10_language_mixture)
 }
-ORACLES: dict[str, str] = {}
+#: Exact windows by grouping them all: fine for a check, not the way to run it at scale.
+_SUBSTRING_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM starts),
+least_doc AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+hit AS (SELECT DISTINCT win.doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN least_doc USING (k) WHERE m < win.doc_id),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN hit USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_substring_dedup": _SUBSTRING_SQL}
