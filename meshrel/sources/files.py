@@ -34,9 +34,8 @@ def read_matrix_market(spark: SparkSession, path: str, one_based: bool = True, a
     nrow, ncol, _ = (int(x) for x in size.split())
     f = F.split(F.trim("value"), r"\s+")
     shift = 1 if one_based else 0
-    # the size line is the one line equal to it that has as many fields as the sizes and comes first
     pattern = "pattern" in banner
-    rows = body.withColumn("n", F.monotonically_increasing_id()).where("n > 0") if True else body
+    rows = body.withColumn("n", F.monotonically_increasing_id()).where("n > 0")  # all but the size line, the first of the first split
     df = rows.select((f[0].cast("long") - shift).alias("i"), (f[1].cast("long") - shift).alias("j"), (F.lit(1.0) if pattern else f[2].cast("double")).alias("v"))
     if any(x in banner for x in ("symmetric", "hermitian", "skew-symmetric")):
         sign = -1 if "skew-symmetric" in banner else 1
@@ -91,7 +90,7 @@ def write_gathered(a: Matrix, path: str, one_based: bool = False, transpose: boo
 
 
 def write_binary(a: Matrix, folder: str) -> None:
-    """Binary part files (no header) and ``_header`` with magic and sizes, through Spark's own text-free writer."""
+    """The scalable binary form: Parquet rows (i, j, v)."""
     a.df.select("i", "j", F.col("v").cast("double").alias("v")).write.parquet(folder)
 
 
