@@ -110,10 +110,12 @@ def read_binary(spark: SparkSession, path: str) -> Matrix:
     if not heads or any(h[0] != BINARY_MAGIC for h in heads):
         raise ValueError("not a binary matrix file")
 
+    skip = BINARY_HEADER.size
+
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                x = np.frombuffer(content, BINARY_RECORD, offset=BINARY_HEADER.size)
+                x = np.frombuffer(content, BINARY_RECORD, offset=skip)
                 yield pd.DataFrame({"i": x["i"], "j": x["j"], "v": x["v"]})
 
     df = files.select("content").mapInPandas(records, "i long, j long, v double")
