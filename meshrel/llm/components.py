@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import save
@@ -38,24 +38,45 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else e.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], items: Column, percent: int) -> DataFrame:
     """Components of verified links between members of like groups: (id, component) for linked ids.
 
     members: (key, id), each key's ids candidates of one another. First every id
-    is tested against its group's smallest, which settles groups of copies in
-    linear work. Where ids of one group still lie in different components, all
-    their pairs across components are tested too, so no link is lost.
-    verify keeps the pairs (a, b) that hold.
+    is tested against its group's most central one (the id whose groups are
+    largest in sum), which settles groups of copies in linear work. Where ids of
+    one group still lie in different components, every pair across components
+    is tested within the join, in the first group that both share; only pairs
+    that hold leave it. Pairs that the distances to the centre rule out are
+    passed over: 1 - similarity is a metric. So no link is lost.
+    fetch gives ids what they hold (id, payload), once for all tests; verify gives
+    each pair (a, b), from that, its similarity and whether it holds (ok); items is
+    the set in a payload, for which a pair holds if 100 * intersection >= percent * union.
     """
-    least = members.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m < x").select("key", "m")
-    shared = save(members.join(least, "key").select("key", "id", "m"), "groups")
-    stars = shared.where("id > m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
-    found = save(verify(stars), "links")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = save(members.join(sizes, "key").select("key", "id", "n"), "groups")
+    weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
+    centres = shared.select("key", "id").join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("top"))
+    shared = save(shared.select("key", "id").join(centres.select("key", (-F.col("top.i")).alias("m")), "key"), "centred")
+    stars = shared.where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
+    held = save(fetch(weight.select("id")), "held")
+    tested = save(verify(stars, held), "tested")
+    found = tested.where("ok").select("a", "b")
     labels = connected_components(found)
     placed = shared.join(labels, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    placed = save(placed.join(mixed, "key"), "mixed")
-    other = placed.select("key", F.col("id").alias("b"), F.col("c").alias("d"))
-    pairs = placed.join(other, "key").where("id > b and c <> d and b <> m").select(F.col("id").alias("a"), "b").distinct()
-    more = save(verify(pairs), "links")
+    placed = placed.join(mixed, "key").join(tested.select(F.col("a").alias("id"), F.col("b").alias("m"), "similarity"), ["id", "m"])
+    placed = save(placed.select("key", "id", "c", "similarity"), "mixed")
+    if placed.isEmpty():
+        return labels
+    keys = placed.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
+    described = save(keys.join(held, "id").select("id", "keys", items.alias("items")).withColumn("size", F.size("items")), "items")
+    x = placed.join(described, "id").alias("x")
+    y = placed.join(described, "id").alias("y")
+    cheap = (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1 - percent / 100 + 1e-9)
+    cheap &= 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
+    own = F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key")
+    common = F.size(F.array_intersect("x.items", "y.items"))
+    holds = 100 * common >= percent * (F.col("x.size") + F.col("y.size") - common)
+    test = F.when(cheap, F.when(own, holds).otherwise(False)).otherwise(False)
+    more = save(x.join(y, (F.col("x.key") == F.col("y.key")) & test).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "crossed")
     return connected_components(found.unionByName(more)) if not more.isEmpty() else labels

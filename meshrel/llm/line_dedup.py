@@ -59,28 +59,29 @@ def bands(lines: DataFrame) -> DataFrame:
 
 
 def _shingles(line: str) -> Column:
-    return F.when(F.length(line) <= WIDTH, F.array(line)).otherwise(F.array_distinct(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1))))
-
-
-def similar(pairs: DataFrame, lines: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of line hashes whose shingle sets are similar enough."""
-    pairs = save(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    text = save(lines.select("id", "line").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "lines")
-    both = pairs.join(text.select(F.col("id").alias("a"), F.col("line").alias("x")), "a")
-    both = both.join(text.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    near = 100 * F.least(F.length("x"), F.length("y")) >= (percent - 10) * F.greatest(F.length("x"), F.length("y")) - 100 * WIDTH
-    sets = both.select("a", "b", _shingles("x").alias("p"), _shingles("y").alias("q"), near.alias("near")).where("near or size(p) < 40 or size(q) < 40")
+    cut = F.when(F.length(line) <= WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1)))
+    return F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x)))
+
+
+def texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and payload (the text) of the lines named."""
+    found = lines.select("id", F.col("line").alias("payload")).join(ids.hint("shuffle_hash"), "id", "left_semi")
+    return found.dropDuplicates(["id"])
+
+
+def similar(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """similarity and ok of each pair (a, b) of line hashes, from all shingles of their texts (id, payload)."""
+    both = pairs.join(known.select(F.col("id").alias("a"), F.col("payload").alias("x")), "a")
+    both = both.join(known.select(F.col("id").alias("b"), F.col("payload").alias("y")), "b")
+    sets = both.select("a", "b", _shingles("x").alias("p"), _shingles("y").alias("q"))
     common = sets.select("a", "b", F.size(F.array_intersect("p", "q")).alias("c"), (F.size("p") + F.size("q")).alias("s"))
-    return common.where(100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).select("a", "b")
+    return common.select("a", "b", (F.col("c") / (F.col("s") - F.col("c"))).alias("similarity"), (100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).alias("ok"))
 
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, gone): the line numbers to drop, ascending, of each document that loses a line."""
     lines = places(docs)
-    linked = link_groups(bands(lines), lambda pairs: similar(pairs, lines, percent))
+    linked = link_groups(bands(lines), lambda pairs, known: similar(pairs, known, percent), lambda ids: texts(lines, ids), _shingles("payload"), percent)
     at = places(docs).select("doc_id", "line_no", "id").distinct()
     at = at.join(linked, "id", "left").select("doc_id", "line_no", F.coalesce("component", "id").alias("group"))
     first = at.groupBy("group").agg(F.min("doc_id").alias("d"), F.count("*").alias("n")).where("n > 1").select("group", "d")

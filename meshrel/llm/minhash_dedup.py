@@ -102,45 +102,27 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bands array<bigint>")
 
 
-def _packed_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and the sorted shingle hashes as bytes."""
+def sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """id and the ascending shingle hashes of the documents named."""
 
     def run(batches):
         for batch in batches:
             for rows, data, offs in K.chunks(batch, "text", CHUNK):
                 h, borders = shingles(data, offs, width)
-                packed = [h[borders[i] : borders[i + 1]].tobytes() for i in range(rows.num_rows)]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(borders.astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "payload"])
 
-    return docs.mapInArrow(run, "id bigint, packed binary")
-
-
-def similar(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets hold 100 * intersection >= percent * union."""
-    pairs = save(pairs, "pairs")
-    if pairs.isEmpty():
-        return pairs
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    # always by shuffle: a plan that broadcasts ids while they are few would behave otherwise at size
+    wanted = ids.select(F.col("id").alias("doc_id")).hint("shuffle_hash")
     text = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = save(_packed_sets(text, width), "sets")
+    return text.mapInArrow(run, "id bigint, payload array<bigint>")
 
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if 100 * min(len(p), len(q)) < percent * max(len(p), len(q)):
-                    keep.append(False)
-                    continue
-                both = np.sort(np.concatenate([p, q]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= percent * (len(both) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-    first = pairs.join(sets.select(F.col("id").alias("a"), F.col("packed").alias("x")), "a")
-    both = first.join(sets.select(F.col("id").alias("b"), F.col("packed").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a bigint, b bigint")
+
+def similar(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """similarity and ok (100 * intersection >= percent * union) of each pair (a, b), from their full sets (id, payload)."""
+    both = pairs.join(known.select(F.col("id").alias("a"), F.col("payload").alias("x")), "a")
+    both = both.join(known.select(F.col("id").alias("b"), F.col("payload").alias("y")), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("c"), (F.size("x") + F.size("y")).alias("s"))
+    return both.select("a", "b", (F.col("c") / (F.col("s") - F.col("c"))).alias("similarity"), (100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).alias("ok"))
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -151,7 +133,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     member = save(sized.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "rep").distinct(), "classes")
     reps = member.where("doc_id = rep").select("doc_id")
     bands = sized.join(reps, "doc_id", "left_semi").select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))
-    linked = link_groups(bands, lambda pairs: similar(pairs, docs, width, percent))
+    linked = link_groups(bands, lambda pairs, known: similar(pairs, known, percent), lambda ids: sets(docs, ids, width), F.col("payload"), percent)
     final = member.join(linked.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("found"))
     out = table.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
