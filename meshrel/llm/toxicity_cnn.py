@@ -122,7 +122,11 @@ def fit_rows(texts: pa.Array, y: np.ndarray, languages: L.LanguageModel, epochs:
     if not len(y) or y.min() == y.max():
         return model
     raw, offs = K.utf8(texts)
-    ids, borders = tokens(raw, offs)
+    # a few texts at a time: hashing needs several words of memory for each byte
+    parts = [tokens(raw[offs[p.start] : offs[p.stop]], offs[p.start : p.stop + 1] - offs[p.start]) for p in K.row_groups(offs)]
+    ids = np.concatenate([i for i, _ in parts])
+    borders = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in parts]))])
+    del parts
     rows = len(y)
     held = np.arange(rows) % 4 == 3 if rows >= 40 else np.zeros(rows, bool)
     # first embedding coordinate: shrunk log-odds of a word's presence in toxic texts
