@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .tables import save
 
+PARITY_WORDS = 16  # a power of two
+LIGHT = 1024  # up to so many items, parities of 1024 bits part sets of similarity 0.7 from those of 0.8
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id on an edge (a, b). Loops, repeats and either order are fine."""
@@ -38,6 +41,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else e.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
+def parities(sets: DataFrame) -> DataFrame:
+    """id, size and p0, p1, ...: for each of 64 * PARITY_WORDS hashed cells, whether the set (id, distinct 64-bit items) has an odd number of items there."""
+    h = F.col("item")
+    word = F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(PARITY_WORDS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    each = [F.bit_xor(F.when(word == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{w}") for w in range(PARITY_WORDS)]
+    # outer: an inner explode would have the optimizer compute all items a second time, below the join, to see whether there are any
+    return sets.select("id", F.explode_outer("items").alias("item")).groupBy("id").agg(F.count("item").alias("size"), *each)
+
+
 def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], items: Column, percent: int) -> DataFrame:
     """Components of verified links between members of like groups: (id, component) for linked ids.
 
@@ -45,9 +58,12 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], Dat
     is tested against its group's most central one (the id whose groups are
     largest in sum), which settles groups of copies in linear work. Where ids of
     one group still lie in different components, every pair across components
-    is tested within the join, in the first group that both share; only pairs
-    that hold leave it. Pairs that the distances to the centre rule out are
-    passed over: 1 - similarity is a metric. So no link is lost.
+    is tested within the join, in the first group that both share, and few leave
+    it that do not hold. Pairs are passed over that the distances to the centre
+    rule out (1 - similarity is a metric) or the parities of their sets: two sets
+    differ in at least as many items as bits of their parities. So no link is
+    lost. Sets above ``LIGHT`` items, for which the parities are too short, travel
+    whole and are compared in the join; the pairs that leave it are verified.
     fetch gives ids what they hold (id, payload), once for all tests; verify gives
     each pair (a, b), from that, its similarity and whether it holds (ok); items is
     the set in a payload, for which a pair holds if 100 * intersection >= percent * union.
@@ -69,14 +85,21 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], Dat
     if placed.isEmpty():
         return labels
     keys = placed.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
-    described = save(keys.join(held, "id").select("id", "keys", items.alias("items")).withColumn("size", F.size("items")), "items")
+    parity = save(parities(keys.join(held, "id").select("id", items.alias("items"))), "parities")
+    heavy = parity.where(F.col("size") > LIGHT).select("id").join(held, "id").select("id", items.alias("items"))
+    described = save(keys.join(parity, "id").join(heavy, "id", "left"), "described")
     x = placed.join(described, "id").alias("x")
     y = placed.join(described, "id").alias("y")
     cheap = (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1 - percent / 100 + 1e-9)
     cheap &= 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
+    # 100 * c >= percent * u, where c = (s - d) / 2 and u = (s + d) / 2 for sizes of s in sum and d items in one set only
+    apart = sum((F.bit_count(F.col(f"x.p{w}").bitwiseXOR(F.col(f"y.p{w}"))) for w in range(PARITY_WORDS)), F.lit(0))
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("x.size") + F.col("y.size"))
     own = F.element_at(F.array_intersect("x.keys", "y.keys"), 1) == F.col("x.key")
     common = F.size(F.array_intersect("x.items", "y.items"))
-    holds = 100 * common >= percent * (F.col("x.size") + F.col("y.size") - common)
-    test = F.when(cheap, F.when(own, holds).otherwise(False)).otherwise(False)
-    more = save(x.join(y, (F.col("x.key") == F.col("y.key")) & test).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "crossed")
+    whole = F.col("x.items").isNotNull() & F.col("y.items").isNotNull()
+    holds = F.when(whole, 100 * common >= percent * (F.col("x.size") + F.col("y.size") - common)).otherwise(True)
+    test = F.when(cheap, F.when(near, F.when(own, holds).otherwise(False)).otherwise(False)).otherwise(False)
+    likely = save(x.join(y, (F.col("x.key") == F.col("y.key")) & test).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "crossed")
+    more = save(verify(likely, held).where("ok").select("a", "b"), "verified")
     return connected_components(found.unionByName(more)) if not more.isEmpty() else labels

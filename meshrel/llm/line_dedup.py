@@ -47,14 +47,18 @@ def _seed(k: int) -> int:
     return x - (1 << 32) if x >= 1 << 31 else x
 
 
-def bands(lines: DataFrame) -> DataFrame:
-    """(key, id): the band keys of every distinct line."""
-    h = F.hash("shingle")
-    sampled = lines.select("id", F.explode(F.regexp_extract_all("line", F.lit(_SAMPLE), F.lit(1))).alias("shingle")).select("id", h.alias("h"))
+def signatures(lines: DataFrame) -> DataFrame:
+    """Of every distinct line: id, first (its smallest doc_id), n (its places) and the band keys k0, k1, ..."""
+    shingles = F.posexplode(F.regexp_extract_all("line", F.lit(_SAMPLE), F.lit(1))).alias("at", "shingle")
+    sampled = lines.select("id", "doc_id", shingles).select("id", "doc_id", "at", F.hash("shingle").alias("h"))
     least = [F.min(F.col("h").bitwiseXOR(F.lit(_seed(k)))).alias(f"m{k}") for k in range(ROWS * BANDS)]
-    signature = sampled.groupBy("id").agg(*least)
-    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)]
-    signature = save(signature.select("id", *(k.alias(f"k{b}") for b, k in enumerate(keys))), "signatures")
+    signature = sampled.groupBy("id").agg(F.min("doc_id").alias("first"), F.count(F.when(F.col("at") == 0, 1)).alias("n"), *least)
+    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))).alias(f"k{b}") for b in range(BANDS)]
+    return save(signature.select("id", "first", "n", *keys), "signatures")
+
+
+def bands(signature: DataFrame) -> DataFrame:
+    """(key, id): the band keys of every distinct line."""
     return signature.select(F.explode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("key"), "id")
 
 
@@ -81,11 +85,14 @@ def similar(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, gone): the line numbers to drop, ascending, of each document that loses a line."""
     lines = places(docs)
-    linked = link_groups(bands(lines), lambda pairs, known: similar(pairs, known, percent), lambda ids: texts(lines, ids), _shingles("payload"), percent)
-    at = places(docs).select("doc_id", "line_no", "id").distinct()
-    at = at.join(linked, "id", "left").select("doc_id", "line_no", F.coalesce("component", "id").alias("group"))
-    first = at.groupBy("group").agg(F.min("doc_id").alias("d"), F.count("*").alias("n")).where("n > 1").select("group", "d")
-    repeated = save(at.join(first, "group"), "repeated")
+    signature = signatures(lines)
+    linked = link_groups(bands(signature), lambda pairs, known: similar(pairs, known, percent), lambda ids: texts(lines, ids), _shingles("payload"), percent)
+    several = signature.select("id", "first", "n").join(linked, "id", "left").where("component is not null or n > 1")
+    several = save(several.select("id", "first", F.coalesce("component", "id").alias("group")), "several")
+    first = several.groupBy("group").agg(F.min("first").alias("d"))
+    wanted = several.select("id", "group").join(first, "group")
+    repeated = places(docs).select("doc_id", "line_no", "id").join(wanted, "id").select("doc_id", "line_no", "group", "d")
+    repeated = save(repeated.distinct(), "repeated")
     keeper = repeated.where("doc_id = d").groupBy("group").agg(F.min("line_no").alias("l"))
     gone = repeated.join(keeper, "group").where("doc_id <> d or line_no <> l")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
