@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshrel.llm import components as C
-from meshrel.llm import embedding_dedup, language_mixture, line_dedup, minhash_dedup, packing, quality_knn, quality_rules, sentencepiece_viterbi, substring_dedup, toxicity_cnn
+from meshrel.llm import components, embedding_dedup, language_mixture, line_dedup, minhash_dedup, packing, quality_knn, quality_rules, sentencepiece_viterbi, substring_dedup, toxicity_cnn
 from meshrel.llm import kernels as K
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -106,7 +106,9 @@ def shingle_set(line, k=line_dedup.WIDTH):
     return {line} if len(line) <= k else {line[i : i + k] for i in range(len(line) - k + 1)}
 
 
-def test_lines_brute_force(make_docs):
+@pytest.mark.parametrize("light", [1024, 20])
+def test_lines_brute_force(make_docs, monkeypatch, light):
+    monkeypatch.setattr(components, "LIGHT", light)  # sets above it are compared whole, in the join
     docs = near_copies(40) + [(100, "same line here\n\nother"), (101, "same line here"), (102, "same line here")]
     places = [(d, k, x) for d, t in docs for k, x in enumerate(t.split("\n")) if x.strip()]
     texts = sorted({x for _, _, x in places})
@@ -123,6 +125,19 @@ def test_lines_brute_force(make_docs):
     assert clean[101] == "" and clean[100] == "same line here\n\nother"
 
 
+def test_parities_bound_the_difference(spark):
+    rng = random.Random(3)
+    base = [rng.getrandbits(63) for _ in range(300)]
+    sets = {i: set(base[: 300 - 20 * i]) | {rng.getrandbits(63) for _ in range(15 * i)} for i in range(8)}
+    frame = spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "id bigint, items array<bigint>")
+    got = {r["id"]: r for r in components.parities(frame).collect()}
+    for i in sets:
+        assert got[i]["size"] == len(sets[i])
+        for j in sets:
+            bits = sum(((got[i][f"p{w}"] ^ got[j][f"p{w}"]) & (2**64 - 1)).bit_count() for w in range(components.PARITY_WORDS))
+            assert bits <= len(sets[i] ^ sets[j]) and (bits > 0) == (i != j)
+
+
 def test_lines_odd(make_docs, odd):
     got = rows(line_dedup.summary(make_docs(odd, True)), "doc_id", "n_lines", "n_removed")
     assert len(got) == len(odd) and (1, 0, 0) in got and (3, 3, 0) in got and (7, 1, 1) in got and (6, 1, 0) in got
