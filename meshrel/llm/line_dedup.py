@@ -30,7 +30,6 @@ BANDS = 6
 PERCENT = 80
 
 _SAMPLE = rf"(?s)(?=(\S.{{0,{WIDTH - 1}}}))\S{{1,{WIDTH}}}\s*"
-_ALL = rf"(?s)(?=(.{{{WIDTH}}}))"
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -63,8 +62,11 @@ def bands(signature: DataFrame) -> DataFrame:
 
 
 def _shingles(line: str) -> Column:
-    cut = F.when(F.length(line) <= WIDTH, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_ALL), F.lit(1)))
-    return F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x)))
+    """Hashes of the distinct shingles. At four bytes a character every slice is found at once, wherever it starts."""
+    at = F.sequence(F.lit(1), 4 * F.greatest(F.length(line) - (WIDTH - 1), F.lit(1)) - 3, F.lit(4))
+    # the outer transform encodes once; within the inner one it would happen for every slice
+    cut = F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(at, lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * WIDTH)))))
+    return F.array_distinct(cut[0])
 
 
 def texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
