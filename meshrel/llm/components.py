@@ -79,18 +79,20 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], Dat
     found = tested.where("ok").select("a", "b")
     labels = connected_components(found)
     placed = shared.join(labels, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+    counts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("n", "c")).alias("top")).where("several > 1").select("key", F.col("top.c").alias("main"))
     placed = placed.join(mixed, "key").join(tested.select(F.col("a").alias("id"), F.col("b").alias("m"), "similarity"), ["id", "m"])
-    placed = save(placed.select("key", "id", "c", "similarity"), "mixed")
+    placed = save(placed.select("key", "id", "c", "similarity", (F.col("c") == F.col("main")).alias("main")), "mixed")
     if placed.isEmpty():
         return labels
     keys = placed.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     parity = save(parities(keys.join(held, "id").select("id", items.alias("items"))), "parities")
     heavy = parity.where(F.col("size") > LIGHT).select("id").join(held, "id").select("id", items.alias("items"))
     described = save(keys.join(parity, "id").join(heavy, "id", "left"), "described")
-    x = placed.join(described, "id").alias("x")
+    # a pair across components has at most one member in its group's largest component (main): that one is always y
+    x = placed.where("not main").join(described, "id").alias("x")
     y = placed.join(described, "id").alias("y")
-    cheap = (F.col("x.id") > F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & (F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1 - percent / 100 + 1e-9)
+    cheap = (F.col("y.main") | (F.col("x.id") > F.col("y.id"))) & (F.col("x.c") != F.col("y.c")) & (F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1 - percent / 100 + 1e-9)
     cheap &= 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
     # 100 * c >= percent * u, where c = (s - d) / 2 and u = (s + d) / 2 for sizes of s in sum and d items in one set only
     apart = sum((F.bit_count(F.col(f"x.p{w}").bitwiseXOR(F.col(f"y.p{w}"))) for w in range(PARITY_WORDS)), F.lit(0))
