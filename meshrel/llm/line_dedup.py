@@ -2,12 +2,10 @@
 
 Lines are the \\n-split lines of all texts. Equal lines are one line of several
 places. A line's set holds its character shingles of ``WIDTH`` characters; the
-signature takes the minimum of ``BANDS * ROWS`` hash functions over the shingles
-that start at a word (in long words, at every ``WIDTH`` characters), which is a
-sample of the set chosen by content. Lines that agree in a band are tested by the exact
-Jaccard similarity of all their shingles, linked, and joined to components by
-repeated contraction; the first place (smallest id, then line number) of each
-component stays.
+signature takes the minimum of ``BANDS * ROWS`` hash functions over all of them.
+Lines that agree in a band are tested by the exact Jaccard similarity of their
+sets, linked, and joined to components by repeated contraction; the first place
+(smallest id, then line number) of each component stays.
 
 Defined cases: lines without a visible character always stay, as do rows without
 an id or a text. A line shorter than ``WIDTH`` is its own only shingle. Rows
@@ -29,8 +27,6 @@ ROWS = 3
 BANDS = 6
 PERCENT = 80
 
-_SAMPLE = rf"(?s)(?=(\S.{{0,{WIDTH - 1}}}))\S{{1,{WIDTH}}}\s*"
-
 
 def places(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, line, id (the line's hash) of every line that shows a character."""
@@ -39,19 +35,20 @@ def places(docs: DataFrame) -> DataFrame:
 
 
 def _seed(k: int) -> int:
-    """Fixed 32-bit constants from a Weyl sequence."""
+    """Fixed odd 31-bit constants from a Weyl sequence."""
     x = (0x9E3779B9 * (k + 1)) & 0xFFFFFFFF
     x = ((x ^ (x >> 16)) * 0x45D9F3B) & 0xFFFFFFFF
     x = (x ^ (x >> 16)) & 0xFFFFFFFF
-    return x - (1 << 32) if x >= 1 << 31 else x
+    return x >> 1 | 1
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """Of every distinct line: id, first (its smallest doc_id), n (its places) and the band keys k0, k1, ..."""
-    shingles = F.posexplode(F.regexp_extract_all("line", F.lit(_SAMPLE), F.lit(1))).alias("at", "shingle")
-    sampled = lines.select("id", "doc_id", shingles).select("id", "doc_id", "at", F.hash("shingle").alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(_seed(k)))).alias(f"m{k}") for k in range(ROWS * BANDS)]
-    signature = sampled.groupBy("id").agg(F.min("doc_id").alias("first"), F.count(F.when(F.col("at") == 0, 1)).alias("n"), *least)
+    encoded = lines.select("id", "doc_id", "line", F.encode("line", "UTF-32").alias("b"))  # before the explode: once a line
+    cut = encoded.select("id", "doc_id", "b", F.explode(_starts("line")).alias("at")).select("id", "doc_id", "at", F.hash(F.substring("b", F.col("at"), F.lit(4 * WIDTH))).cast("long").alias("h"))
+    # products of 32 and 31 bits can't overflow; xor with seeds would leave minima of short lines dependent
+    least = [F.min((F.col("h") * F.lit(_seed(k)).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{k}") for k in range(ROWS * BANDS)]
+    signature = cut.groupBy("id").agg(F.min("doc_id").alias("first"), F.count(F.when(F.col("at") == 1, 1)).alias("n"), *least)
     keys = [F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))).alias(f"k{b}") for b in range(BANDS)]
     return save(signature.select("id", "first", "n", *keys), "signatures")
 
@@ -61,9 +58,14 @@ def bands(signature: DataFrame) -> DataFrame:
     return signature.select(F.explode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("key"), "id")
 
 
+def _starts(line: str) -> Column:
+    """Where each shingle starts (from 1) in the line at four bytes a character."""
+    return F.sequence(F.lit(1), 4 * F.greatest(F.length(line) - (WIDTH - 1), F.lit(1)) - 3, F.lit(4))
+
+
 def _shingles(line: str) -> Column:
     """Hashes of the distinct shingles. At four bytes a character every slice is found at once, wherever it starts."""
-    at = F.sequence(F.lit(1), 4 * F.greatest(F.length(line) - (WIDTH - 1), F.lit(1)) - 3, F.lit(4))
+    at = _starts(line)
     # the outer transform encodes once; within the inner one it would happen for every slice
     cut = F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(at, lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * WIDTH)))))
     return F.array_distinct(cut[0])

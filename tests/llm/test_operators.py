@@ -125,6 +125,23 @@ def test_lines_brute_force(make_docs, monkeypatch, light):
     assert clean[101] == "" and clean[100] == "same line here\n\nother"
 
 
+def test_lines_without_spaces_and_ends(make_docs):
+    rng = random.Random(8)
+    some = lambda n, lo, hi: "".join(chr(rng.randrange(lo, hi)) for _ in range(n))
+    pairs = []
+    for k in range(150):
+        x = some((60, 120, 200)[k % 3], *((0x4E00, 0x9000) if k % 2 else (0x61, 0x7B)))
+        pairs.append((x, some(1, 0x3041, 0x3090) + x))  # one more character in front
+        y = some(200, 0x61, 0x7B)
+        pairs.append((y, y[:-8] + some(8, 0x41, 0x5B)))  # another end
+        z = " ".join(some(5, 0x61, 0x7B) for _ in range(20))
+        pairs.append((z, z[:-6] + some(6, 0x41, 0x5B)))
+    want = [100 * len(shingle_set(a) & shingle_set(b)) >= 80 * len(shingle_set(a) | shingle_set(b)) for a, b in pairs]
+    assert all(want)
+    got = rows(line_dedup.summary(make_docs([(i, f"{a}\n{b}") for i, (a, b) in enumerate(pairs)])), "doc_id", "n_removed")
+    assert sum(n for _, n in got) >= 0.98 * len(pairs)
+
+
 def test_parities_bound_the_difference(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(63) for _ in range(300)]
