@@ -231,7 +231,10 @@ def chaos(a: Matrix) -> DataFrame:
 
 
 def markov_clustering(a: Matrix, inflation: float = 2.0, cutoff: float = 1e-4, select: int = 1100, recover: int = 1400, percent: float = 0.9, epsilon: float = 1e-4, rounds: int = 60) -> DataFrame:
-    """vertex, label: expansion, pruning, inflation until chaos is small; clusters are the components of what is left."""
+    """vertex, label: expansion, pruning, inflation until chaos is small; clusters are the components of what is left.
+
+    Raises if chaos is still above epsilon after the safety bound of rounds: unfinished states are no clusters.
+    """
     a = M.apply(a, lambda v: v.cast("double"))
     top = M.reduce(M.remove_loops(a), M.COLUMN, F.max, 1.0)
     m = column_stochastic(M.add_loops(M.remove_loops(a), top, replace=True))
@@ -243,8 +246,8 @@ def markov_clustering(a: Matrix, inflation: float = 2.0, cutoff: float = 1e-4, s
         m = column_stochastic(M.apply(m, lambda v: F.pow(v, F.lit(inflation))))
         m = m.with_df(cut(m.df))
         if c is None or c <= epsilon:
-            break
-    return components(M.symmetrise(m, F.max))
+            return components(M.symmetrise(m, F.max))
+    raise RuntimeError(f"chaos above {epsilon} after {rounds} rounds")
 
 
 def incremental_clustering(old: Matrix, cross: Matrix, back: Matrix, new: Matrix, **options) -> DataFrame:

@@ -572,7 +572,7 @@ def betweenness(t):
 
 @query()
 def markov_clustering(t):
-    return G.markov_clustering(t.copurchase(), inflation=2.0, rounds=12)
+    return G.markov_clustering(t.copurchase(), inflation=2.0)
 
 
 @query("SELECT round(max(c), 6) AS chaos FROM (SELECT (max(p) - sum(p * p)) * count(*) AS c FROM (SELECT j, v / sum(v) OVER (PARTITION BY j) AS p FROM m_nat) GROUP BY j)", "m_nat")

@@ -245,6 +245,43 @@ def test_markov_clusters(spark):
     assert sums.where("abs(v - 1) > 1e-9").count() == 0
 
 
+def test_markov_query_converges(spark):
+    """The query's labels against numpy, run until chaos is below epsilon, on the smallest tables."""
+    import numpy as np
+
+    from meshrel.plans import queries
+
+    folder = "/root/testdata/sf0.001"
+    line = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().toPandas()
+    n = int(spark.read.parquet(f"{folder}/part.parquet").agg(F.max("p_partkey")).collect()[0][0]) + 1
+    op = np.zeros((int(line.l_orderkey.max()) + 1, n))
+    op[line.l_orderkey, line.l_partkey] = 1
+    m = op.T @ op
+    np.fill_diagonal(m, 0)
+    m[m < 2] = 0
+    np.fill_diagonal(m, np.where(m.max(0) > 0, m.max(0), 1))
+    m, rounds, chaos = m / m.sum(0), 0, 1.0
+    while chaos > 1e-4:
+        m = m @ m
+        kept = np.where(m > 1e-4, m, 0)
+        light = ((kept > 0).sum(0) < (m > 0).sum(0)) & (kept.sum(0) < 0.9)  # too light to prune: all entries recovered
+        m = np.where(light, m, np.where(m >= 1e-4, m, 0))
+        m = m / m.sum(0)
+        chaos = ((m.max(0) - (m * m).sum(0)) * (m > 0).sum(0)).max()
+        m = m**2 / (m**2).sum(0)
+        rounds += 1
+    label = np.arange(n)
+    for _ in range(n):
+        for i, j in zip(*np.nonzero(m)):
+            label[i] = label[j] = min(label[i], label[j])
+    assert rounds > 12
+    got = {r["vertex"]: r["label"] for r in queries.QUERIES["markov_clustering"](spark, folder).collect()}
+    assert got == dict(enumerate(label.tolist()))
+    two = matrix(spark, [(0, 1, 1.0), (1, 0, 1.0), (1, 2, 1.0), (2, 1, 1.0)], 3)
+    with pytest.raises(RuntimeError):
+        G.markov_clustering(two, rounds=1)
+
+
 def test_tips_and_paths(spark):
     chain = [(0, 1), (1, 2), (2, 3), (2, 4), (2, 5)]
     a = matrix(spark, [(i, j, 1) for i, j in chain] + [(j, i, 1) for i, j in chain], 6, kind="long")
