@@ -245,6 +245,22 @@ def test_markov_clusters(spark):
     assert sums.where("abs(v - 1) > 1e-9").count() == 0
 
 
+def test_layered_query_is_whole(spark):
+    from meshrel.plans import queries
+
+    folder = "/root/testdata/sf0.001"
+    orders = {}
+    for o, p in spark.read.parquet(f"{folder}/lineitem.parquet").select("l_orderkey", "l_partkey").collect():
+        orders.setdefault(o, []).append(p)
+    want = {}
+    for parts in orders.values():
+        for i in parts:
+            for j in parts:
+                want[i, j] = want.get((i, j), 0) + 1
+    got = {(r["i"], r["j"]): r["v"] for r in queries.QUERIES["spgemm_layered_whole"](spark, folder).collect()}
+    assert got == want
+
+
 def test_markov_query_converges(spark):
     """The query's labels against numpy, run until chaos is below epsilon, on the smallest tables."""
     import numpy as np
