@@ -261,6 +261,21 @@ def test_layered_query_is_whole(spark):
     assert got == want
 
 
+def test_galerkin_query_is_whole(spark):
+    import numpy as np
+
+    from meshrel.plans import queries
+
+    folder = "/root/testdata/sf0.001"
+    line = spark.read.parquet(f"{folder}/lineitem.parquet").selectExpr("l_suppkey", "l_partkey", "cast(l_quantity as bigint) q", "l_returnflag = 'R' r").toPandas()
+    a, r = (np.zeros((line.l_suppkey.max() + 1, line.l_partkey.max() + 1), np.int64) for _ in range(2))
+    np.add.at(a, (line.l_suppkey, line.l_partkey), line.q)
+    np.add.at(r, (line.l_suppkey[line.r], line.l_partkey[line.r]), line.q[line.r])
+    want = r @ a.T @ r
+    got = {(x["i"], x["j"]): x["v"] for x in queries.QUERIES["galerkin_whole"](spark, folder).collect()}
+    assert got == {(i, j): want[i, j] for i, j in zip(*map(np.ndarray.tolist, np.nonzero(want)))}
+
+
 def test_markov_query_converges(spark):
     """The query's labels against numpy, run until chaos is below epsilon, on the smallest tables."""
     import numpy as np
