@@ -527,6 +527,16 @@ def block_split(t):
     return block.df.select((F.col("i") + 13).alias("i"), "j", "v")
 
 
+@query("SELECT CAST(i // 13 AS BIGINT) AS rb, CAST(j // 13 AS BIGINT) AS cb, i % 13 AS i, j % 13 AS j, v FROM m_nat", "m_nat")
+def block_split_whole(t):
+    """All four blocks with their numbers; block_split's SQL takes one of them."""
+    blocks = [b.df.select(F.lit(r).cast("long").alias("rb"), F.lit(c).cast("long").alias("cb"), "i", "j", "v") for r, row in enumerate(M.block_split(t.nations(), 2, 2)) for c, b in enumerate(row)]
+    out = blocks[0]
+    for b in blocks[1:]:
+        out = out.unionByName(b)
+    return out
+
+
 @query(f"SELECT i, v FROM x_supp UNION ALL SELECT i + {_SUPP}, v FROM x_supp", "x_supp")
 def vector_concatenate(t):
     x = t.balances()
