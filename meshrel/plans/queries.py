@@ -606,7 +606,7 @@ def chaos(t):
 
 @query()
 def reverse_cuthill_mckee(t):
-    return G.reverse_cuthill_mckee(t.copurchase(3))
+    return G.reverse_cuthill_mckee(t.copurchase())
 
 
 @query()

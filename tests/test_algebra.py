@@ -276,6 +276,29 @@ def test_galerkin_query_is_whole(spark):
     assert got == {(i, j): want[i, j] for i, j in zip(*map(np.ndarray.tolist, np.nonzero(want)))}
 
 
+def test_cuthill_mckee_query_orders_by_parents(spark):
+    """On the graph of parts that share two orders, as the survey lists it: parents' positions ascend along each component."""
+    from meshrel.plans import queries
+    from meshrel.plans.inputs import Inputs
+
+    folder = "/root/testdata/sf0.001"
+    a = Inputs(spark, folder).copurchase()
+    at = {r["vertex"]: a.nrow - r["pos"] for r in queries.QUERIES["reverse_cuthill_mckee"](spark, folder).collect()}
+    assert sorted(at.values()) == list(range(a.nrow))
+    parent, root = {}, {}
+    for i, j in entries(a):
+        parent[i] = min(parent.get(i, at[j]), at[j])
+    vertex = {p: v for v, p in at.items()}
+    last = {}
+    for p in sorted(at[i] for i in parent):
+        up = parent[vertex[p]]
+        root[p] = root[up] if up < p else p
+        if up < p:
+            assert last.get(root[p], -1) <= up
+            last[root[p]] = up
+    assert len(set(root.values())) == G.components(a).where(F.col("vertex").isin(list(parent))).select("label").distinct().count()
+
+
 def test_markov_query_converges(spark):
     """The query's labels against numpy, run until chaos is below epsilon, on the smallest tables."""
     import numpy as np
