@@ -2,7 +2,7 @@
 
 Every kernel works on whole texts. A batch is cut at row borders into chunks of
 about ``CHUNK_BYTES`` so that memory stays flat whatever the batch holds; one
-text longer than that is a chunk of its own.
+text longer than that is a chunk of its own, which takes some 30 bytes a byte.
 """
 
 from __future__ import annotations
@@ -165,26 +165,31 @@ def per_text(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return per_span(values, offs[:-1], offs[1:])
 
 
-def ngram_counts(data: np.ndarray, offs: np.ndarray, buckets: int, n: int = 3) -> np.ndarray:
-    """Texts x buckets: how often each hashed n-byte gram stands in each text."""
+def ngram_counts(data: np.ndarray, offs: np.ndarray, buckets: int, n: int = 3, block: int = 1 << 20) -> np.ndarray:
+    """Texts x buckets: how often each hashed n-byte gram stands in each text; in blocks of bytes, so that memory is flat."""
     rows = len(offs) - 1
-    size = len(data)
-    if size < n:
-        return np.zeros((rows, buckets), np.float32)
-    code = np.zeros(size - n + 1, np.uint64)
-    for i in range(n):
-        code = code * np.uint64(257) + data[i : size - n + 1 + i] + np.uint64(1)
-    code = (mix(code) & np.uint64(buckets - 1)).astype(np.int64)
-    which = np.repeat(np.arange(rows), np.diff(offs))[: size - n + 1]
-    good = np.arange(size - n + 1) + n <= np.repeat(offs[1:], np.diff(offs))[: size - n + 1]
-    cell = (which * buckets + code)[good]
-    return np.bincount(cell, minlength=rows * buckets).reshape(rows, buckets).astype(np.float32)
-
-
-def row_groups(offs: np.ndarray, rows: int = 256) -> Iterator[slice]:
-    """Slices of at most so many texts."""
-    for a in range(0, len(offs) - 1, rows):
-        yield slice(a, min(a + rows, len(offs) - 1))
+    out = np.zeros(rows * buckets, np.int64)
+    for a in range(0, max(0, len(data) - n + 1), block):
+        size = min(block, len(data) - n + 1 - a)
+        code = np.zeros(size, np.uint64)
+        for i in range(n):
+            code = code * np.uint64(257) + data[a + i : a + i + size] + np.uint64(1)
+        code = (mix(code) & np.uint64(buckets - 1)).astype(np.int64)
+        lo, hi = int(np.searchsorted(offs, a, "right")) - 1, int(np.searchsorted(offs, a + size, "left"))
+        taken = np.minimum(offs[lo + 1 : hi + 1], a + size) - np.maximum(offs[lo:hi], a)
+        whole = np.arange(a, a + size) + n <= np.repeat(offs[lo + 1 : hi + 1], taken)
+        found = np.bincount((np.repeat(np.arange(hi - lo), taken) * buckets + code)[whole])
+        out[lo * buckets : lo * buckets + len(found)] += found
+    return out.reshape(rows, buckets).astype(np.float32)
+
+
+def row_groups(offs: np.ndarray, rows: int = 256, size: int = 4 << 20) -> Iterator[slice]:
+    """Slices of at most so many texts and, but for single longer texts, so many bytes."""
+    a = 0
+    while a < len(offs) - 1:
+        b = min(a + rows, len(offs) - 1, max(a + 1, int(np.searchsorted(offs, offs[a] + size, "right")) - 1))
+        yield slice(a, b)
+        a = b
 
 
 def has_letter(data: np.ndarray, offs: np.ndarray) -> np.ndarray:

@@ -1,20 +1,24 @@
-"""Input tables and intermediate tables in the folder that all executors share."""
+"""Input tables, intermediate tables in the folder that all executors share, and models fitted in an executor."""
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests, one machine)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir`` of the session or the context's checkpoint folder; a temporary one is made only on one machine."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="meshrel-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -25,7 +29,19 @@ def save(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meshrel-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._meshrel_path = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes saved tables that nothing reads any more; anything else is passed over."""
+    for df in tables:
+        path = getattr(df, "_meshrel_path", None) if df is not None else None
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,13 +57,33 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int, max_chars: int) -> DataFrame:
-    """At most ``bound`` labelled training texts, drawn by a hash of the id: doc_id, text, lang, y.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int) -> DataFrame:
+    """At most ``bound`` labelled training texts, whole, drawn by a hash of the id: doc_id, text, lang, y.
 
-    The sample is bounded whatever the input holds. Only rows outside the held-out
-    fold come in, and texts above ``max_chars`` are left out of training (never of scoring).
+    Only rows outside the held-out fold come in. An id counts once whatever the
+    tables hold: its largest label and its smallest (text, lang).
     """
     y = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (crc_mod("doc_id", modulus) != held))
-    y = y.select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(bound)
-    picked = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    return picked.join(F.broadcast(y), "doc_id")
+    y = y.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    picked = docs.where(F.col("text").isNotNull()).select("doc_id", "text", "lang").join(F.broadcast(y), "doc_id")
+    once = picked.groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("x"))
+    return once.select("doc_id", "x.text", "x.lang", "y")
+
+
+def fit_in_task(sample: DataFrame, train: Callable[[pa.Table], object]):
+    """The model that ``train`` makes of a bounded sample (doc_id, ...), in order of the ids' hashes.
+
+    One executor task gathers the sample and trains; the driver gets the model
+    alone, so that its memory depends on no text.
+    """
+    columns = [c for c in sample.columns if c != "doc_id"]
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select(*columns)
+    empty = ordered.limit(0).toArrow()
+
+    def run(batches):
+        held = list(batches)
+        model = train(pa.Table.from_batches(held) if held else empty)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model, 5)], pa.binary())], ["model"])
+
+    found = ordered.mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0][0]) if found else train(empty)  # an empty sample may have no task at all

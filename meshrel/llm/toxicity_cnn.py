@@ -23,14 +23,13 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import language_mixture as L
-from .tables import crc_mod, labelled_sample
+from .tables import crc_mod, fit_in_task, labelled_sample
 
 BITS = 18
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 SAMPLE = 8000
-MAX_TRAIN_CHARS = 20_000
 EPOCHS = 6
 CUT = 0.7
 
@@ -180,13 +179,17 @@ def fit_rows(texts: pa.Array, y: np.ndarray, languages: L.LanguageModel, epochs:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sample: int = SAMPLE) -> ToxicityModel:
-    drawn = labelled_sample(docs, labels, "toxic", modulus, held, sample, MAX_TRAIN_CHARS).select("text", "lang", "y").toArrow()
+def train(drawn: pa.Table) -> ToxicityModel:
+    """The model of a sample (text, lang, y)."""
     named = drawn.filter(drawn["lang"].is_valid())
     languages = L.fit_rows(named["text"], named["lang"].to_pylist()) if named.num_rows else L.LanguageModel([], np.zeros((0, L.BUCKETS), np.float32))
     return fit_rows(drawn["text"], drawn["y"].to_numpy().astype(np.float64), languages)
 
 
+def fit(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, sample: int = SAMPLE) -> ToxicityModel:
+    return fit_in_task(labelled_sample(docs, labels, "toxic", modulus, held, sample), train)
+
+
 def classify(docs: DataFrame, model: ToxicityModel, modulus: int = 3, held: int = 1) -> DataFrame:
     """doc_id, held_out, score, predicted for every text."""
 
