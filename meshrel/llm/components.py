@@ -13,10 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import save
+from .tables import discard, save
 
 PARITY_WORDS = 16  # a power of two
 LIGHT = 1024  # up to so many items, parities of 1024 bits part sets of similarity 0.7 from those of 0.8
+BLOCK = 2048  # members of a group that meet in one task
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -29,18 +30,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
         again = nearest.select(F.col("a").alias("p"), F.col("p").alias("pp"))
         hop = save(nearest.join(again, "p", "left").select("a", F.coalesce("pp", "p").alias("p")), "hop")
         if labels is None:
-            labels = hop.select(F.col("a").alias("id"), F.col("p").alias("component"))
+            new = save(hop.select(F.col("a").alias("id"), F.col("p").alias("component")), "labels")
         else:
-            step = hop.select(F.col("a").alias("component"), F.col("p").alias("next"))
-            labels = labels.join(step, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
-        labels = save(labels, "labels")
+            new = save(relabel(labels, hop.select(F.col("a").alias("id"), F.col("p").alias("component"))), "labels")
         left = hop.select("a", F.col("p").alias("pa"))
         right = hop.select(F.col("a").alias("b"), F.col("p").alias("pb"))
-        e = e.join(left, "a").join(right, "b").where("pa <> pb")
-        e = save(e.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        rest = e.join(left, "a").join(right, "b").where("pa <> pb")
+        rest = save(rest.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        discard(e, nearest, hop, labels)
+        e, labels = rest, new
     return labels if labels is not None else e.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
+def relabel(labels: DataFrame, step: DataFrame) -> DataFrame:
+    """labels (id, component) with each component taken to its own component in step."""
+    return labels.join(step.select(F.col("id").alias("component"), F.col("component").alias("next")), "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+
+
 def parities(sets: DataFrame) -> DataFrame:
     """id, size and p0, p1, ...: for each of 64 * PARITY_WORDS hashed cells, whether the set (id, distinct 64-bit items) has an odd number of items there."""
     h = F.col("item")
@@ -69,10 +75,10 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], Dat
     the set in a payload, for which a pair holds if 100 * intersection >= percent * union.
     """
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = save(members.join(sizes, "key").select("key", "id", "n"), "groups")
-    weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
-    centres = shared.select("key", "id").join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("top"))
-    shared = save(shared.select("key", "id").join(centres.select("key", (-F.col("top.i")).alias("m")), "key"), "centred")
+    groups = save(members.join(sizes, "key").select("key", "id", "n"), "groups")
+    weight = groups.groupBy("id").agg(F.sum("n").alias("w"))
+    centres = groups.select("key", "id").join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("top"))
+    shared = save(groups.select("key", "id").join(centres.select("key", (-F.col("top.i")).alias("m")), "key"), "centred")
     stars = shared.where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
     held = save(fetch(weight.select("id")), "held")
     tested = save(verify(stars, held), "tested")
@@ -83,15 +89,19 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], Dat
     mixed = counts.groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("n", "c")).alias("top")).where("several > 1").select("key", F.col("top.c").alias("main"))
     placed = placed.join(mixed, "key").join(tested.select(F.col("a").alias("id"), F.col("b").alias("m"), "similarity"), ["id", "m"])
     placed = save(placed.select("key", "id", "c", "similarity", (F.col("c") == F.col("main")).alias("main")), "mixed")
+    discard(groups, shared)
     if placed.isEmpty():
         return labels
     keys = placed.groupBy("id").agg(F.array_sort(F.collect_list("key")).alias("keys"))
     parity = save(parities(keys.join(held, "id").select("id", items.alias("items"))), "parities")
     heavy = parity.where(F.col("size") > LIGHT).select("id").join(held, "id").select("id", items.alias("items"))
     described = save(keys.join(parity, "id").join(heavy, "id", "left"), "described")
-    # a pair across components has at most one member in its group's largest component (main): that one is always y
-    x = placed.where("not main").join(described, "id").alias("x")
-    y = placed.join(described, "id").alias("y")
+    # a pair across components has at most one member in its group's largest component (main): that one is always y;
+    # the y of a large group are dealt out in blocks, each of which meets all its x
+    blocks = placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = save(placed.join(blocks, "key"), "dealt")
+    x = dealt.where("not main").join(described, "id").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("x")
+    y = dealt.join(described, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).alias("y")
     cheap = (F.col("y.main") | (F.col("x.id") > F.col("y.id"))) & (F.col("x.c") != F.col("y.c")) & (F.abs(F.col("x.similarity") - F.col("y.similarity")) <= 1 - percent / 100 + 1e-9)
     cheap &= 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
     # 100 * c >= percent * u, where c = (s - d) / 2 and u = (s + d) / 2 for sizes of s in sum and d items in one set only
@@ -102,6 +112,14 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], Dat
     whole = F.col("x.items").isNotNull() & F.col("y.items").isNotNull()
     holds = F.when(whole, 100 * common >= percent * (F.col("x.size") + F.col("y.size") - common)).otherwise(True)
     test = F.when(cheap, F.when(near, F.when(own, holds).otherwise(False)).otherwise(False)).otherwise(False)
-    likely = save(x.join(y, (F.col("x.key") == F.col("y.key")) & test).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "crossed")
-    more = save(verify(likely, held).where("ok").select("a", "b"), "verified")
-    return connected_components(found.unionByName(more)) if not more.isEmpty() else labels
+    likely = save(x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & test).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), "crossed")
+    named = labels.select("id", "component")
+    more = verify(likely, held).where("ok").select("a", "b")
+    # what the crossing pairs add lies between components: only their graph is contracted again
+    for k in ("a", "b"):
+        more = more.join(named.select(F.col("id").alias(k), F.col("component").alias(f"c{k}")), k, "left").withColumn(k, F.coalesce(f"c{k}", k)).drop(f"c{k}")
+    more = connected_components(more)
+    out = labels.unionByName(more.join(labels, "id", "left_anti").select("id", F.col("id").alias("component")))
+    out = save(relabel(out, more), "linked")
+    discard(placed, dealt, parity, described, likely, held, tested, labels, more)
+    return out

@@ -2,16 +2,22 @@
 
 Lines are the \\n-split lines of all texts. Equal lines are one line of several
 places. A line's set holds its character shingles of ``WIDTH`` characters; the
-signature takes the minimum of ``BANDS * ROWS`` hash functions over all of them.
-Lines that agree in a band are tested by the exact Jaccard similarity of their
-sets, linked, and joined to components by repeated contraction; the first place
-(smallest id, then line number) of each component stays.
+signature takes the minima of ``BANDS * ROWS`` hash functions over those of them
+whose own hash falls to one in ``RATE``, so which are taken follows from what
+they say, never from where they stand. ``SEEN`` cells tell how many different
+ones were met; sets of few (up to ``FEW`` cells) are signed over all shingles,
+and those in between (from ``ENOUGH``) both ways, so that alike sets meet in one
+kind of signature at least. Lines that agree in a band are tested by the exact
+Jaccard similarity of their whole sets, linked, and joined to components by
+repeated contraction; the first place (smallest id, then line number) of each
+component stays.
 
 Defined cases: lines without a visible character always stay, as do rows without
-an id or a text. A line shorter than ``WIDTH`` is its own only shingle. Rows
-that repeat an id are taken as one document (equal rows). Further columns are
-kept by ``clean``. An empty table gives an empty result. Lines are told apart by
-64-bit hashes: a wrong match needs a collision, one in 10^7 lines at 10^12 lines.
+an id or a text. A line shorter than ``WIDTH`` is its own only shingle. Very long
+lines are taken whole. Rows that repeat an id are taken as one document (equal
+rows). Further columns are kept by ``clean``. An empty table gives an empty
+result. Lines are told apart by 64-bit hashes: a wrong match needs a collision,
+one in 10^7 lines at 10^12 lines.
 """
 
 from __future__ import annotations
@@ -20,12 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import link_groups
-from .tables import save
+from .tables import discard, save, save_bucketed
 
 WIDTH = 12
 ROWS = 3
 BANDS = 6
 PERCENT = 80
+RATE = 4  # a power of two
+SEEN = 64
+ENOUGH, FEW = 13, 23  # cells filled by some 14 and 28 different shingles
 
 
 def places(docs: DataFrame) -> DataFrame:
@@ -42,20 +51,33 @@ def _seed(k: int) -> int:
     return x >> 1 | 1
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """Of every distinct line: id, first (its smallest doc_id), n (its places) and the band keys k0, k1, ..."""
-    encoded = lines.select("id", "doc_id", "line", F.encode("line", "UTF-32").alias("b"))  # before the explode: once a line
-    cut = encoded.select("id", "doc_id", "b", F.explode(_starts("line")).alias("at")).select("id", "doc_id", "at", F.hash(F.substring("b", F.col("at"), F.lit(4 * WIDTH))).cast("long").alias("h"))
+def distinct_lines(docs: DataFrame) -> DataFrame:
+    """Every distinct line: id, first (its smallest doc_id), n (its places), line; in buckets by id."""
+    return save_bucketed(places(docs).groupBy("id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"), F.first("line").alias("line")), "lines", "id")
+
+
+def signatures(lines: DataFrame, rate: int) -> DataFrame:
+    """id, cells (of ``SEEN`` filled) and the band keys k0, k1, ... from the shingles whose hash is divisible by rate; lines without one are left out."""
+    encoded = lines.select("id", "line", F.encode("line", "UTF-32").alias("b"))  # before the explode: once a line
+    cut = encoded.select("id", "b", F.explode(_starts("line")).alias("at")).select("id", F.hash(F.substring("b", F.col("at"), F.lit(4 * WIDTH))).cast("long").alias("h"))
+    if rate > 1:
+        cut = cut.where(F.col("h").bitwiseAND(F.lit(rate - 1)) == 0)
     # products of 32 and 31 bits can't overflow; xor with seeds would leave minima of short lines dependent
     least = [F.min((F.col("h") * F.lit(_seed(k)).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{k}") for k in range(ROWS * BANDS)]
-    signature = cut.groupBy("id").agg(F.min("doc_id").alias("first"), F.count(F.when(F.col("at") == 1, 1)).alias("n"), *least)
-    keys = [F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))).alias(f"k{b}") for b in range(BANDS)]
-    return save(signature.select("id", "first", "n", *keys), "signatures")
+    cell = F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(SEEN - 1)).cast("int")
+    signature = cut.groupBy("id").agg(F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell))).alias("cells"), *least)
+    keys = [F.xxhash64(F.lit(rate), F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))).alias(f"k{b}") for b in range(BANDS)]
+    return signature.select("id", "cells", *keys)
 
 
-def bands(signature: DataFrame) -> DataFrame:
+def bands(lines: DataFrame) -> DataFrame:
     """(key, id): the band keys of every distinct line."""
-    return signature.select(F.explode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("key"), "id")
+    sampled = save(signatures(lines, RATE), "sampled")
+    # of the lines that gave no sampled shingle, or few
+    few = lines.select("id", "line").join(sampled.where(F.col("cells") > FEW).select("id").hint("shuffle_hash"), "id", "left_anti")
+    every = save(signatures(few, 1), "few")
+    keys = F.explode(F.array(*(f"k{b}" for b in range(BANDS)))).alias("key")
+    return sampled.where(F.col("cells") >= ENOUGH).select(keys, "id").unionByName(every.select(keys, "id"))
 
 
 def _starts(line: str) -> Column:
@@ -72,9 +94,8 @@ def _shingles(line: str) -> Column:
 
 
 def texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and payload (the text) of the lines named."""
-    found = lines.select("id", F.col("line").alias("payload")).join(ids.hint("shuffle_hash"), "id", "left_semi")
-    return found.dropDuplicates(["id"])
+    """id and payload (the text) of the lines named; the text stays in its buckets."""
+    return lines.select("id", F.col("line").alias("payload")).join(ids.hint("shuffle_hash"), "id", "left_semi")
 
 
 def similar(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -88,15 +109,15 @@ def similar(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, gone): the line numbers to drop, ascending, of each document that loses a line."""
-    lines = places(docs)
-    signature = signatures(lines)
-    linked = link_groups(bands(signature), lambda pairs, known: similar(pairs, known, percent), lambda ids: texts(lines, ids), _shingles("payload"), percent)
-    several = signature.select("id", "first", "n").join(linked, "id", "left").where("component is not null or n > 1")
+    lines = distinct_lines(docs)
+    linked = link_groups(bands(lines), lambda pairs, known: similar(pairs, known, percent), lambda ids: texts(lines, ids), _shingles("payload"), percent)
+    several = lines.select("id", "first", "n").join(linked, "id", "left").where("component is not null or n > 1")
     several = save(several.select("id", "first", F.coalesce("component", "id").alias("group")), "several")
     first = several.groupBy("group").agg(F.min("first").alias("d"))
-    wanted = several.select("id", "group").join(first, "group")
+    wanted = save(several.select("id", "group").join(first, "group"), "wanted")
     repeated = places(docs).select("doc_id", "line_no", "id").join(wanted, "id").select("doc_id", "line_no", "group", "d")
     repeated = save(repeated.distinct(), "repeated")
+    discard(lines, linked)
     keeper = repeated.where("doc_id = d").groupBy("group").agg(F.min("line_no").alias("l"))
     gone = repeated.join(keeper, "group").where("doc_id <> d or line_no <> l")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
@@ -104,8 +125,8 @@ def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def summary(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed line numbers (from 0) of every row."""
-    rows = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.col("text").isNull().alias("none"))
-    rows = rows.select("doc_id", F.when(F.col("none"), 0).otherwise(F.col("n_lines")).cast("long").alias("n_lines"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    rows = docs.select("doc_id", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"))
     out = rows.join(removed(docs, percent), "doc_id", "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), gone.alias("removed_lines"))

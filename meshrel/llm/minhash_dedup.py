@@ -129,7 +129,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     table = save(sketches(docs, width), "sketches")
     sized = table.where("n_shingles > 0 and doc_id is not null")
-    classes = sized.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # written: a join with an aggregate on one side couldn't be split where one class holds most rows
+    classes = save(sized.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")), "reps")
     member = save(sized.select("doc_id", "s1", "s2", "n_shingles").join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "rep").distinct(), "classes")
     reps = member.where("doc_id = rep").select("doc_id")
     bands = sized.join(reps, "doc_id", "left_semi").select(F.explode("bands").alias("key"), F.col("doc_id").alias("id"))

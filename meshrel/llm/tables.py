@@ -34,6 +34,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def save_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """The same, in as many buckets by a key as there are shuffle partitions: joins and groups by the key exchange only the other side."""
+    spark = df.sparkSession
+    path, at = f"{shared_dir(spark)}/meshrel-{name}-{uuid.uuid4().hex}", f"meshrel_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts(spark), key).option("path", path).format("parquet").saveAsTable(at)
+    out = spark.table(at)
+    out._meshrel_path = path
+    return out
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Deletes saved tables that nothing reads any more; anything else is passed over."""
     for df in tables:
