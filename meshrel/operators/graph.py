@@ -6,6 +6,8 @@ driver. Random choices are hashes of (vertex, round, seed), so results repeat.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,6 +74,25 @@ def traversed_edges(a: Matrix, tree: DataFrame) -> DataFrame:
     return tree.select(F.col("vertex").alias("i")).join(deg.df, "i").agg((F.coalesce(F.sum("v"), F.lit(0)) / 2).alias("edges"))
 
 
+def search_roots(a: Matrix, count: int = 64, seed: int = 1) -> list[int]:
+    """At most ``count`` vertices with an edge to another one, drawn by a hash."""
+    some = a.df.where("i <> j").select("i").distinct().orderBy(F.xxhash64(F.lit(seed), "i"), "i").limit(count)
+    return [r[0] for r in some.collect()]
+
+
+def search_statistics(a: Matrix, roots: list[int]) -> DataFrame:
+    """One row over searches from all roots: minimum, quartiles, maximum and harmonic mean of edges traversed a second."""
+    rates = []
+    for root in roots:
+        began = time.perf_counter()
+        tree = cut(bfs(a, root))
+        took = time.perf_counter() - began
+        rates.append((float(traversed_edges(a, tree).collect()[0][0]) / took,))
+    q = [F.percentile("r", p).alias(n) for n, p in (("low", 0.25), ("median", 0.5), ("high", 0.75))]
+    frame = a.df.sparkSession.createDataFrame(rates, "r double")
+    return frame.agg(F.count("*").alias("searches"), F.min("r").alias("least"), *q, F.max("r").alias("most"), (F.count("*") / F.sum(1 / F.col("r"))).alias("harmonic_mean"))
+
+
 # components
 
 def components(a: Matrix) -> DataFrame:
@@ -312,9 +333,8 @@ def reverse_cuthill_mckee(a: Matrix) -> DataFrame:
                 break
         depth = cut(deepest)
         starts = cut(best(tree.join(depth, "label").where("level = h")))
-    order = cut(starts.select("i", "label", "d").withColumn("o", F.row_number().over(Window.orderBy("label")).cast("long") - 1).withColumn("level", F.lit(0)))
-    placed, k = order.withColumn("key", F.struct(F.lit(-1).cast("long").alias("p"), "d", "i")), 0
-    frontier = placed = cut(placed.select("i", "label", "level", F.lit(0).cast("long").alias("o")))
+    k = 0
+    frontier = placed = cut(starts.select("i", "label", F.lit(0).alias("level"), F.lit(0).cast("long").alias("o")))
     while True:
         k += 1
         parent = edges.join(frontier.select(F.col("i").alias("j"), "o"), "j").groupBy("i").agg(F.min("o").alias("po"))

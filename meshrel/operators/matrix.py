@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixpoint import cut
 from ..types import DenseVector, Matrix, SparseVector, same_shape
 
 Op = Callable[..., Column]
@@ -180,10 +181,9 @@ def profile(a: Matrix) -> DataFrame:
 
 
 def load_imbalance(a: Matrix) -> float:
-    """Most entries in a partition over the mean; 1 if there is none."""
-    r = a.df.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).collect()[0]
-    parts = a.df.rdd.getNumPartitions()
-    return 1.0 if not r[1] else r[0] * parts / r[1]
+    """Most entries in a partition over the mean of those with entries; 1 if there is none."""
+    r = a.df.groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.avg("count")).collect()[0]
+    return 1.0 if not r[1] else r[0] / r[1]
 
 
 def equal(a: Matrix, b: Matrix, epsilon: float = 0.01) -> bool:
@@ -274,11 +274,17 @@ def find(a: Matrix) -> DataFrame:
 
 
 def _numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Consecutive numbers from 0 in an order, by range partitions and their sizes: no task sees all rows."""
-    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = spread.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
-    sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
+    """Consecutive numbers from 0 in an order, by range partitions and their sizes: no task sees all rows.
+
+    The partitioned rows are written once, each with its partition: bounds are
+    sampled and partitions coalesced anew for every plan, so sizes counted in one
+    and rows numbered in another would not agree.
+    """
+    spread = cut(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = spread.groupBy("_p").agg(F.count("*").alias("_n"))
+    # a row for each partition
     bases = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    local = spread.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1)
     return local.join(F.broadcast(bases), "_p").withColumn(name, F.col("_r") + F.col("_b")).drop("_p", "_r", "_b")
 
 

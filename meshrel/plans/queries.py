@@ -98,15 +98,8 @@ def spgemm_filtered(t):
     return P.square(t.nations(), S.PLUS_TIMES.where(lambda a, b: (a % 2 == 0) & (b > 50)))
 
 
-@query("SELECT a.j AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM m_sp a JOIN m_sp b ON a.i = b.i WHERE a.j % 7 = 0 AND b.j % 7 = 0 GROUP BY 1, 2", "m_sp")
-def spgemm_layered(t):
-    a = M.prune_i(t.supplier_part(), lambda i, j, v: j % 7 != 0)
-    return P.spgemm_layered(M.transpose(a), a, 4)
-
-
 @query("SELECT a.j AS i, b.j AS j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM m_op a JOIN m_op b ON a.i = b.i GROUP BY 1, 2", "m_op")
-def spgemm_layered_whole(t):
-    """Layered multiplication of whole matrices; spgemm_layered's SQL takes every seventh part only."""
+def spgemm_layered(t):
     a = t.order_part()
     return P.spgemm_layered(M.transpose(a), a, 4)
 
@@ -148,22 +141,20 @@ def flops(t):
     return P.flops(M.transpose(a), a)
 
 
+@query()
+def nnz_sampled(t):
+    a = t.order_part()
+    return P.nnz_sampled(M.transpose(a), a)
+
+
 @query("SELECT count(*) AS nnz FROM (SELECT DISTINCT a.j, b.j FROM m_op a JOIN m_op b ON a.i = b.i)", "m_op")
 def nnz_exact(t):
     a = t.order_part()
     return P.nnz_estimate(M.transpose(a), a, exact=True)
 
 
-@query("SELECT x.i, y.j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM m_sp a JOIN m_rs b ON false GROUP BY 1, 2 UNION ALL SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM m_rs a JOIN m_sp b ON a.j = b.j GROUP BY 1, 2) x JOIN (SELECT i, j, v FROM m_rs WHERE j % 5 = 0) y ON x.j = y.i GROUP BY 1, 2", "m_sp m_rs")
-def galerkin(t):
-    r = t.supplier_part("R")
-    tail = M.prune_i(r, lambda i, j, v: j % 5 != 0)
-    return G.galerkin(M.transpose(t.supplier_part()), r, tail)
-
-
 @query("SELECT x.i, y.j, CAST(sum(x.v * y.v) AS BIGINT) AS v FROM (SELECT a.i, b.i AS j, sum(a.v * b.v) AS v FROM m_rs a JOIN m_sp b ON a.j = b.j GROUP BY 1, 2) x JOIN m_rs y ON x.j = y.i GROUP BY 1, 2", "m_sp m_rs")
-def galerkin_whole(t):
-    """S A T of whole matrices; galerkin's SQL takes every fifth column of T only."""
+def galerkin(t):
     r = t.supplier_part("R")
     return G.galerkin(M.transpose(t.supplier_part()), r, r)
 
@@ -521,15 +512,8 @@ def last_row_of_columns(t):
     return M.last_row_of_columns(t.supplier_part())
 
 
-@query("SELECT i, j, v FROM m_nat WHERE i >= 13 AND j < 13", "m_nat")
-def block_split(t):
-    block = M.block_split(t.nations(), 2, 2)[1][0]
-    return block.df.select((F.col("i") + 13).alias("i"), "j", "v")
-
-
 @query("SELECT CAST(i // 13 AS BIGINT) AS rb, CAST(j // 13 AS BIGINT) AS cb, i % 13 AS i, j % 13 AS j, v FROM m_nat", "m_nat")
-def block_split_whole(t):
-    """All four blocks with their numbers; block_split's SQL takes one of them."""
+def block_split(t):
     blocks = [b.df.select(F.lit(r).cast("long").alias("rb"), F.lit(c).cast("long").alias("cb"), "i", "j", "v") for r, row in enumerate(M.block_split(t.nations(), 2, 2)) for c, b in enumerate(row)]
     out = blocks[0]
     for b in blocks[1:]:

@@ -257,7 +257,7 @@ def test_layered_query_is_whole(spark):
         for i in parts:
             for j in parts:
                 want[i, j] = want.get((i, j), 0) + 1
-    got = {(r["i"], r["j"]): r["v"] for r in queries.QUERIES["spgemm_layered_whole"](spark, folder).collect()}
+    got = {(r["i"], r["j"]): r["v"] for r in queries.QUERIES["spgemm_layered"](spark, folder).collect()}
     assert got == want
 
 
@@ -272,7 +272,7 @@ def test_galerkin_query_is_whole(spark):
     np.add.at(a, (line.l_suppkey, line.l_partkey), line.q)
     np.add.at(r, (line.l_suppkey[line.r], line.l_partkey[line.r]), line.q[line.r])
     want = r @ a.T @ r
-    got = {(x["i"], x["j"]): x["v"] for x in queries.QUERIES["galerkin_whole"](spark, folder).collect()}
+    got = {(x["i"], x["j"]): x["v"] for x in queries.QUERIES["galerkin"](spark, folder).collect()}
     assert got == {(i, j): want[i, j] for i, j in zip(*map(np.ndarray.tolist, np.nonzero(want)))}
 
 
@@ -392,3 +392,59 @@ def test_stream_follows_components(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen[0] == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4} and seen[-1] == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+
+
+def test_numbering_of_many_wide_rows(spark, tmp_path):
+    n = 200_000
+    a = Matrix(spark.range(n).select((F.col("id") * 7919 % n).alias("i"), (F.col("id") % 1000).alias("j"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("v")), n, 1000)
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            path = str(tmp_path / f"found-{adaptive}")
+            M.find(a).write.parquet(path)
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        got = spark.read.parquet(path)
+        assert got.agg(F.count("*"), F.count_distinct("k"), F.min("k"), F.max("k")).collect()[0][:] == (n, n, 0, n - 1)
+        step = got.alias("x").join(got.alias("y"), F.expr("x.k + 1 = y.k"))
+        assert step.where("y.j < x.j or (y.j = x.j and y.i <= x.i)").isEmpty()
+
+
+def test_files_of_several_parts(spark, tmp_path):
+    n = 20_000
+    a = Matrix(spark.range(n).select((F.col("id") % 500).alias("i"), F.floor(F.col("id") / 500).alias("j"), (F.col("id") % 97 + 0.5).alias("v")), 500, 500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_matrix_market(a, str(tmp_path / "m"))
+        x = SparseVector(spark.range(5000).select(F.col("id").alias("i"), (F.col("id") * 0.5).alias("v")), 5000)
+        files.write_vector(x, str(tmp_path / "v"), header=True)
+        files.write_vector(x, str(tmp_path / "g"), header=True, gathered=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "m").glob("part-*"))) > 1 and len(list((tmp_path / "g").glob("part-*"))) == 1
+    back = files.read_matrix_market(spark, str(tmp_path / "m"))
+    assert back.df.count() == n and M.equal(back, a)
+    for k in "vg":
+        y = files.read_vector(spark, str(tmp_path / k))
+        assert y.n == 5000 and values(y) == values(x)
+    (tmp_path / "c.txt").write_text("9 9 2\n9 9 2\n1 2 3\n")  # a data line equal to the size line stays
+    c = files.read_coordinates(spark, str(tmp_path / "c.txt"), one_based=True)
+    assert (c.nrow, c.ncol) == (9, 9) and entries(c) == {(8, 8): 2.0, (0, 1): 3.0}
+    (tmp_path / "e.bin").write_bytes(files.edge_bytes(spark.createDataFrame([(1, 2), (3, 4), (1, 2)], "src long, dst long")))
+    e = files.read_binary_edges(spark, str(tmp_path / "e.bin"))
+    assert sorted(tuple(r) for r in e.collect()) == [(1, 2), (1, 2), (3, 4)]
+
+
+def test_sampled_size_and_search_statistics(spark):
+    rng = random.Random(4)
+    a = matrix(spark, [(rng.randrange(400), rng.randrange(40), 1.0) for _ in range(3000)], 400, 40)
+    b = matrix(spark, [(rng.randrange(40), rng.randrange(10), 1.0) for _ in range(60)], 40, 10)
+    a, b = M.merge_duplicates(a.df, 400, 40), M.merge_duplicates(b.df, 40, 10)
+    exact = {r["j"]: r["count"] for r in P.spgemm(a, b).df.groupBy("j").count().collect()}
+    got = {r["i"]: r["nnz"] for r in P.nnz_sampled(a, b).collect()}
+    assert set(got) == set(exact) and all(abs(got[j] / exact[j] - 1) < 0.5 for j in exact)
+    g = M.symmetrise(matrix(spark, [(0, 1, 1.0), (1, 2, 1.0), (3, 4, 1.0)], 6, 6))
+    roots = G.search_roots(g, 3)
+    assert len(set(roots)) == 3 and set(roots) <= {0, 1, 2, 3, 4}
+    row = G.search_statistics(g, roots).collect()[0]
+    assert row["searches"] == 3 and 0 < row["least"] <= row["harmonic_mean"] <= row["most"]
