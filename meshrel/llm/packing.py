@@ -4,13 +4,13 @@ Documents are tokenised (closing id appended) and cut only if longer than
 ``CAPACITY``. The histogram of piece lengths (at most ``CAPACITY`` counts,
 whatever the input) goes to the driver, where a covering program over
 configurations (multisets of lengths that fit a sequence) is solved by
-multiplicative weights; a knapsack dynamic program prices the configurations.
-Rounded-down counts are applied, what is left is filled class by class with the
-fullest fitting configuration. The plan is a table of slots by length, and
+multiplicative weights; a knapsack dynamic program prices the configurations and
+their dual gives a lower bound. The plan is a table of slots by length, and
 each piece finds its slot by its rank among pieces of its length; ranks come
 from counts of hashed shards, so that no task sees all pieces.
 
-Defined cases: null and empty texts are one piece holding the closing id.
+Defined cases: null and empty texts are one piece holding the closing id. Very
+long texts are encoded whole and cut into pieces. Ties in rank go by id, then piece.
 Repeated rows are packed one by one. An empty table gives an empty result.
 Further columns are ignored.
 """
@@ -61,8 +61,8 @@ def encoder(path: str):
     def encode(text: str) -> np.ndarray:
         try:
             return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), np.uint32)
-        except BaseException as e:  # the fast library gives up on some extreme texts
-            if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
+        except BaseException as e:  # the fast library's native part panics on some extreme texts, with no class of its own to import
+            if type(e).__name__ != "PanicException":
                 raise
             return np.asarray(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -92,8 +92,8 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
-def _knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of most value that fits; item index -> times."""
+def _knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to the capacity, the most value that fits and the item taken last (-1: none, -2: look one lower)."""
     best = np.zeros(capacity + 1)
     take = np.full(capacity + 1, -1)
     for w in range(int(lengths[0]), capacity + 1):
@@ -103,75 +103,120 @@ def _knapsack(lengths: np.ndarray, value: np.ndarray, capacity: int) -> dict[int
         best[w], take[w] = total[i], i
         if best[w - 1] > best[w]:
             best[w], take[w] = best[w - 1], -2
+    return best, take
+
+
+def _chosen(lengths: np.ndarray, take: np.ndarray, room: int) -> dict[int, int]:
+    """The items behind a room's best value; index -> times."""
     out: dict[int, int] = {}
-    w = capacity
-    while w > 0 and take[w] != -1:
-        if take[w] == -2:
-            w -= 1
+    while room > 0 and take[room] != -1:
+        i = int(take[room])
+        if i == -2:
+            room -= 1
             continue
-        out[int(take[w])] = out.get(int(take[w]), 0) + 1
-        w -= int(lengths[take[w]])
+        out[i] = out.get(i, 0) + 1
+        room -= int(lengths[i])
+    return out
+
+
+def _fill(lengths: np.ndarray, rest: np.ndarray, room: int) -> dict[int, int]:
+    """The items, as many of each as are left at most, whose sum comes closest to a room; larger ones are preferred."""
+    fits = np.flatnonzero((rest > 0) & (lengths <= room))
+    mask, reach, before = (1 << (room + 1)) - 1, 1, []
+    for i in fits:  # sums that the items so far can make, as bits
+        before.append(reach)
+        n, step = min(int(rest[i]), room // int(lengths[i])), 1
+        while n > 0:
+            step = min(step, n)
+            reach |= reach << (step * int(lengths[i])) & mask
+            n, step = n - step, step * 2
+    left, out = reach.bit_length() - 1, {}
+    for i, lower in zip(fits[::-1], before[::-1], strict=True):
+        a = min(int(rest[i]), left // int(lengths[i]))
+        while not lower >> (left - a * int(lengths[i])) & 1:
+            a -= 1
+        if a:
+            out[int(i)] = a
+            left -= a * int(lengths[i])
     return out
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[int, dict[int, int]]]:
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
     """(times, {length: number}) whose lengths are exactly those counted, in as few sequences as found."""
+    return solve(counts, capacity)[0]
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, rounds: int = 200, rate: float = 0.2, eta: float = 0.004, tilt: float = 0.125, waste: int = 8) -> tuple[list[tuple[int, dict[int, int]]], float, int]:
+    """The plan, a lower bound on the sequences of any plan, and how many of its sequences come from the program.
+
+    Covering by multiplicative weights: a length's price starts at its share of a
+    sequence (raised by up to ``tilt`` for long ones, which have fewest partners)
+    and falls by a factor of exp(-eta * share covered). A knapsack over all rooms
+    prices, for every length, the configuration of most value that holds it; those
+    that leave no more room than the most valuable one and the slack are taken,
+    each length moving by ``rate`` of its number a round at most. The slack grows,
+    to ``waste`` tokens, once nothing moves. Times are whole, rounded down but to
+    one where its pieces are there, and never cover more than is counted. By
+    duality every round's prices bound the sequences from below: their total over
+    the value of the best configuration. Pieces that the program leaves (rounding)
+    are filled into sequences largest first, by exact subset sums.
+    """
     out = [(counts[capacity], {capacity: 1})] if counts.get(capacity) else []
+    whole = counts.get(capacity, 0)
     lengths = np.array(sorted(x for x, n in counts.items() if n and x < capacity), np.int64)
     if not len(lengths):
-        return out
+        return out, float(whole), whole
     need = np.array([counts[int(x)] for x in lengths], np.int64)
     rest = need.copy()
-
-    def apply(config: dict[int, int], times: int) -> None:
-        times = min([times, *(int(rest[i] // a) for i, a in config.items())])
-        if times > 0:
-            for i, a in config.items():
-                rest[i] -= times * a
-            out.append((times, {int(lengths[i]): a for i, a in config.items()}))
-
-    # covering by multiplicative weights: a length's weight falls as its demand is met
-    used: dict[tuple, float] = {}
-    covered = np.zeros(len(need))
-    rate = 0.1
+    used: dict[tuple[tuple[int, int], ...], int] = {}
+    bound, slack, rng = 0.0, 0, np.random.default_rng(5)
     for _ in range(rounds):
-        open_ = covered < need
-        if not open_.any():
+        left = np.flatnonzero(rest > 0)
+        if not len(left):
             break
-        weight = np.where(open_, np.exp(-covered / need / rate), 0) * lengths ** 1.0
-        weight = weight / weight.max() + lengths / capacity * 1e-3
-        config = _knapsack(lengths, np.where(open_, weight, 0), capacity)
-        amount = max(1.0, min(rate * need[i] / a for i, a in config.items()))
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0) + amount
-        for i, a in config.items():
-            covered[i] += a * amount
-    for key, x in sorted(used.items(), key=lambda kx: (-sum(lengths[i] * a for i, a in kx[0]), -kx[1], kx[0])):
-        if sum(lengths[i] * a for i, a in key) >= capacity - 2:  # full ones only; the rest is filled below
-            apply(dict(key), int(x))
-    # the rest, largest length first: the fullest completion by subset sum over what is left
-    while (rest > 0).any():
-        i = int(np.flatnonzero(rest > 0)[-1])
-        config, room = {i: 1}, capacity - int(lengths[i])
-        while room > 0:
-            left = rest.copy()
+        share = lengths[left] / capacity
+        price = share * (1 + tilt * share) * np.exp(-eta * (1 - rest[left] / need[left]))
+        best, take = _knapsack(lengths[left], price * (1 + 1e-6 * rng.random(len(left))), capacity)
+        for y, top in ((price, best[-1]), (share, 1.0)):
+            bound = max(bound, float(need[left] @ y) / (top * (1 + 1e-6)))
+        allowed = np.maximum(1, rate * need[left]).astype(np.int64)
+        least = capacity - sum(int(lengths[left][i]) * a for i, a in _chosen(lengths[left], take, capacity).items())
+        moved = False
+        for i in range(len(left) - 1, -1, -1):
+            config = _chosen(lengths[left], take, capacity - int(lengths[left][i]))
+            config[int(i)] = config.get(int(i), 0) + 1
+            if capacity - sum(int(lengths[left][j]) * a for j, a in config.items()) > least + slack:
+                continue
+            if any(a > rest[left[j]] for j, a in config.items()):
+                continue
+            times = min(min(int(rest[left[j]]), max(int(allowed[j]), a)) // a for j, a in config.items())
+            times = times if all(allowed[j] > 0 for j in config) else 0
+            if times < 1:
+                continue
             for j, a in config.items():
-                left[j] -= a
-            fits = np.flatnonzero((left > 0) & (lengths <= room))
-            if not len(fits):
-                break
-            more = _knapsack(lengths[fits], lengths[fits].astype(float) + lengths[fits] ** 2 / capacity**2 / 8, room)
-            gained = False
-            for j, a in more.items():
-                a = min(a, int(left[fits[j]]))
-                if a:
-                    config[int(fits[j])] = config.get(int(fits[j]), 0) + a
-                    room -= a * int(lengths[fits[j]])
-                    gained = True
-            if not gained:
+                rest[left[j]] -= times * a
+                allowed[j] -= times * a
+            key = tuple(sorted((int(left[j]), a) for j, a in config.items()))
+            used[key] = used.get(key, 0) + times
+            moved = True
+        if not moved:
+            slack = 2 * slack + 1
+            if slack > waste:
                 break
-        apply(config, int(rest.max()))
-    return out
+    program = sum(used.values())
+    for key, times in used.items():
+        out.append((times, {int(lengths[i]): a for i, a in key}))
+    while (rest > 0).any():
+        i = int(np.flatnonzero(rest > 0)[-1])
+        rest[i] -= 1
+        config = _fill(lengths, rest, capacity - int(lengths[i]))
+        rest[i] += 1
+        config[i] = config.get(i, 0) + 1
+        times = min(int(rest[j]) // a for j, a in config.items())
+        for j, a in config.items():
+            rest[j] -= times * a
+        out.append((times, {int(lengths[j]): a for j, a in config.items()}))
+    return out, bound + whole, program + whole
 
 
 def slots(sequences: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
