@@ -310,6 +310,23 @@ def test_embeddings_brute_force(spark):
     assert embedding_dedup.links(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("dims", "pivots"), [(64, 256), (64, 1024), (256, 256)])
+def test_embedding_recall_near_the_threshold(dims, pivots):
+    """Pairs at cosines from 0.93 to 0.95 share enough pivots; nine in ten of them at least."""
+    rng = np.random.default_rng(dims)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(rng.standard_normal((4000, dims)))
+    aside = rng.standard_normal(x.shape)
+    aside = unit(aside - (aside * x).sum(1, keepdims=True) * x)
+    c = rng.uniform(0.93, 0.95, (4000, 1))
+    y = c * x + np.sqrt(1 - c * c) * aside
+    p = embedding_dedup.choose_pivots(x, pivots)
+    assert len(p) == pivots
+    a, b = (embedding_dedup._description(v, p) for v in (x, y))
+    common = (a[:, :, None] == b[:, None, :]).any(2).sum(1)
+    assert (common >= embedding_dedup.SHARED).mean() >= 0.95
+
+
 # 7
 
 @pytest.mark.parametrize("width", [2, 5])
@@ -370,11 +387,26 @@ def test_plan_is_near_the_bound():
     rng = np.random.default_rng(8)
     lengths = np.minimum(rng.lognormal(5.5, 1, 20000).astype(int) + 1, 1023)
     counts = {int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True))}
-    found = packing.plan(counts)
+    found, bound, program = packing.solve(counts)
     again = {}
     for times, config in found:
         assert sum(k * a for k, a in config.items()) <= 1024
         for k, a in config.items():
             again[k] = again.get(k, 0) + a * times
     assert again == counts
-    assert sum(t for t, _ in found) <= 1.01 * -(-int(lengths.sum()) // 1024)
+    total = sum(t for t, _ in found)
+    assert bound >= lengths.sum() / 1024 * (1 - 1e-5) and bound <= total <= 1.005 * bound
+    assert program >= 0.9 * total  # sequences that the program gave
+
+
+def test_plan_odd_histograms():
+    assert packing.solve({}) == ([], 0.0, 0)
+    for counts in ({1024: 3}, {600: 7}, {1: 5}, {600: 4, 300: 4, 124: 4}, {512: 3, 513: 2}):
+        found, bound, _ = packing.solve(counts)
+        again = {}
+        for times, config in found:
+            for k, a in config.items():
+                again[k] = again.get(k, 0) + a * times
+        total = sum(t for t, _ in found)
+        assert again == counts and bound <= total
+        assert total == {1024: 3, 600: 7 if counts == {600: 7} else 4, 1: 1, 512: 4}[max(counts) if max(counts) != 513 else 512]
