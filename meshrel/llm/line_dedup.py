@@ -118,7 +118,8 @@ def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     repeated = places(docs).select("doc_id", "line_no", "id").join(wanted, "id").select("doc_id", "line_no", "group", "d")
     repeated = save(repeated.distinct(), "repeated")
     discard(lines, linked)
-    keeper = repeated.where("doc_id = d").groupBy("group").agg(F.min("line_no").alias("l"))
+    # written: a join with an aggregate on one side couldn't be split where one group holds most places
+    keeper = save(repeated.where("doc_id = d").groupBy("group").agg(F.min("line_no").alias("l")), "keeper")
     gone = repeated.join(keeper, "group").where("doc_id <> d or line_no <> l")
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
 

@@ -72,4 +72,32 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
 """
 
-ORACLES: dict[str, str] = {"op5_substring_dedup": _SUBSTRING_SQL}
+#: All pairs that share a shingle and whose sizes allow the similarity, then the closure of the links.
+_MINHASH_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+item AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM d WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM item GROUP BY 1),
+coded AS (SELECT doc_id, n, hash(s) AS s FROM item JOIN size USING (doc_id)),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS t, count(*) AS c FROM coded a JOIN coded b ON a.s = b.s AND a.doc_id > b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair WHERE 100 * c >= 80 * (t - c)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id, d.doc_id <= coalesce(low.b, d.doc_id) AS kept
+FROM d LEFT JOIN size ON d.doc_id = size.doc_id LEFT JOIN low ON d.doc_id = low.a
+"""
+
+#: All pairs of a label.
+_EMBEDDING_SQL = """
+WITH RECURSIVE good AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, e.b FROM reach r JOIN link e ON r.b = e.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY 1),
+degree AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(v.vec_id, coalesce(low.b, v.vec_id)) AS component_id, v.vec_id <= coalesce(low.b, v.vec_id) AS kept
+FROM embeddings v LEFT JOIN low ON v.vec_id = low.a LEFT JOIN degree ON v.vec_id = degree.a
+"""
+
+ORACLES: dict[str, str] = {"op5_substring_dedup": _SUBSTRING_SQL, "op6_embedding_dedup": _EMBEDDING_SQL, "op7_minhash_dedup": _MINHASH_SQL}
