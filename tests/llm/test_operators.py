@@ -142,6 +142,20 @@ def test_lines_without_spaces_and_ends(make_docs):
     assert sum(n for _, n in got) >= 0.98 * len(pairs)
 
 
+def test_lines_at_the_threshold(make_docs):
+    rng = random.Random(12)
+    some = lambda n, lo, hi: "".join(chr(rng.randrange(lo, hi)) for _ in range(n))
+    pairs = []
+    for k in range(600):  # the kind of signature follows the length; the last characters differ
+        length, other = ((60, 5), (100, 9), (130, 13), (300, 32))[k % 4]
+        x = some(length, *((0x4E00, 0x9000) if k % 8 < 4 else (0x61, 0x7B)))
+        pairs.append((x, x[:-other] + some(other, 0x41, 0x5B)))
+    alike = [len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b)) for a, b in pairs]
+    assert 0.8 <= min(alike) and max(alike) < 0.82
+    got = rows(line_dedup.summary(make_docs([(i, f"{a}\n{b}") for i, (a, b) in enumerate(pairs)])), "doc_id", "n_removed")
+    assert sum(n for _, n in got) >= 0.98 * len(pairs)
+
+
 def test_parities_bound_the_difference(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(63) for _ in range(300)]
