@@ -129,7 +129,7 @@ def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def summary(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines, n_removed and the removed line numbers (from 0) of every row."""
-    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
     rows = docs.select("doc_id", F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n_lines"))
     out = rows.join(removed(docs, percent), "doc_id", "left")
     gone = F.coalesce("gone", F.array().cast("array<int>"))
