@@ -255,6 +255,31 @@ def test_rules_brute_force(make_docs, odd):
         assert r["base_failed"] == (len(w) < 20 or 100 * len(cover) > 30 * len(w)) and not (r["base_failed"] and r["kept"])
 
 
+def test_rules_fit_takes_all_texts(make_docs, spark):
+    """A mark that only few texts bear, and a short line that recurs in all of them only, reach the model."""
+    rng = np.random.default_rng(12)
+    plain = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 12)) + ".\nAll rights kept\n" * (i % 40 == 0) for i in range(2400)]
+    docs = [(i, t + "\n## ** || ##" * (i % 7 == 0)) for i, t in enumerate(plain)] + [(9000, None), (9001, "")]
+    got = quality_rules.fit(make_docs(docs, True).repartition(5))
+    want = quality_rules.fit_rows(pa.array([t for _, t in docs]))
+    np.testing.assert_allclose(got.emit, want.emit, atol=2e-3)
+    np.testing.assert_allclose(got.step, want.step, atol=2e-3)
+    part = quality_rules.fit_rows(pa.array([t for _, t in docs[:2000]]))
+    assert np.abs(part.emit - want.emit).max() > 1e-2
+    assert quality_rules.fit(make_docs([])).emit[0] == 1
+
+
+def test_line_sums_are_a_gradient():
+    rng = np.random.default_rng(4)
+    x, y, borders = rng.standard_normal((500, quality_rules.FEATURES)), rng.integers(0, 2, 500), np.array([0, 1, 1, 30, 450, 500])
+    w = rng.standard_normal(quality_rules.FEATURES + 4) / 3
+    at = lambda v: quality_rules.line_sums(x, y, borders, v)
+    for k in range(len(w)):
+        e = np.zeros(len(w))
+        e[k] = 1e-5
+        assert at(w)[2 + k] == pytest.approx((at(w + e)[1] - at(w - e)[1]) / 2e-5, rel=1e-5, abs=1e-5)
+
+
 def test_viterbi_against_all_labellings():
     rng = np.random.default_rng(0)
     field = quality_rules.LineField(rng.standard_normal(quality_rules.FEATURES), rng.standard_normal((2, 2)))
