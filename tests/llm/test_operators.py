@@ -366,6 +366,43 @@ def test_embedding_recall_near_the_threshold(dims, pivots):
     assert (common >= embedding_dedup.SHARED).mean() >= 0.95
 
 
+def test_embedding_pivots_do_not_follow_the_size(spark, monkeypatch):
+    """As many pivots for a large label as for a small one, and recall with them."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    counts, choose = [], embedding_dedup.choose_pivots
+    monkeypatch.setattr(embedding_dedup, "choose_pivots", lambda *a: counts.append(len(out := choose(*a))) or out)
+    x = unit(rng.standard_normal((12000, 32)))
+    for n in (2000, 12000):
+        embedding_dedup.links(spark.createDataFrame([(i, v, 0) for i, v in enumerate(x[:n].tolist())], "vec_id long, embedding array<double>, label int"))
+    assert counts == [embedding_dedup.PIVOTS] * 2
+    aside = rng.standard_normal(x.shape)
+    aside = unit(aside - (aside * x).sum(1, keepdims=True) * x)
+    p = choose(x[:4096])
+    a, b = (embedding_dedup._description(v[8000:], p) for v in (x, 0.935 * x + np.sqrt(1 - 0.935**2) * aside))
+    assert ((a[:, :, None] == b[:, None, :]).any(2).sum(1) >= embedding_dedup.SHARED).mean() >= 0.98
+
+
+def test_embedding_threshold_is_alike_in_short_and_long_lists():
+    """A cosine that is the threshold itself links its pair, however long the list is."""
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((embedding_dedup.SMALL + 40, 61))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    near, ids = np.tile(np.arange(3), (len(v), 1)), np.arange(len(v))
+
+    def found(n, cosine):
+        zeros = np.zeros(n, np.int64)
+        return embedding_dedup.compare(zeros, v[:n], near[:n], zeros + 2, zeros, zeros > 0, ids[:n], zeros + 1, 3, cosine)
+
+    for i in range(1, 60):
+        cosine = np.einsum("ij,ij->i", v[:1], v[i : i + 1])[0]
+        for n in (embedding_dedup.SMALL, len(v)):
+            out = found(n, cosine)
+            assert i in out[0] and 0 in out[0]
+            linked = np.einsum("ij,kj->ik", v[:n], v[:n])[0] >= cosine + 1e-9
+            assert out[1][list(out[0]).index(0)] == linked[1:].sum() + 1
+
+
 # 7
 
 @pytest.mark.parametrize("width", [2, 5])
