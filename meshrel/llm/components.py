@@ -8,7 +8,7 @@ are written to the shared folder, so a lost executor costs one round.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +57,7 @@ def parities(sets: DataFrame) -> DataFrame:
     return sets.select("id", F.explode_outer("items").alias("item")).groupBy("id").agg(F.count("item").alias("size"), *each)
 
 
-def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], items: Column, percent: int) -> DataFrame:
+def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], fetch: Callable[[DataFrame], DataFrame], items: Column, percent: int, read: Sequence[DataFrame] = ()) -> DataFrame:
     """Components of verified links between members of like groups: (id, component) for linked ids.
 
     members: (key, id), each key's ids candidates of one another. First every id
@@ -72,10 +72,15 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], Dat
     whole and are compared in the join; the pairs that leave it are verified.
     fetch gives ids what they hold (id, payload), once for all tests; verify gives
     each pair (a, b), from that, its similarity and whether it holds (ok); items is
-    the set in a payload, for which a pair holds if 100 * intersection >= percent * union.
+    the set in a payload, for which a pair holds if 100 * intersection >= percent * union;
+    read: saved tables that only members reads, deleted as soon as it has been.
     """
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    groups = save(members.join(sizes, "key").select("key", "id", "n"), "groups")
+    # exchanged once: count(id) keeps both columns, so that the join reads the exchange that the count has read. Few keys
+    # repeat: they are looked up, where a merge would sort every member
+    by_key = members.repartition("key")
+    sizes = by_key.groupBy("key").agg(F.count("id").alias("n")).where("n > 1")
+    groups = save(by_key.join(sizes.hint("shuffle_hash"), "key").select("key", "id", "n"), "groups")
+    discard(*read)
     weight = groups.groupBy("id").agg(F.sum("n").alias("w"))
     centres = groups.select("key", "id").join(weight, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("top"))
     shared = save(groups.select("key", "id").join(centres.select("key", (-F.col("top.i")).alias("m")), "key"), "centred")

@@ -60,9 +60,14 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame, rate: int, bands: int) -> DataFrame:
-    """id, cells (of ``SEEN`` filled) and the band keys k0, k1, ... from the shingles whose hash is divisible by rate; lines without one are left out."""
-    encoded = lines.select("id", "line", F.encode("line", "UTF-32").alias("b"))  # before the explode: once a line
-    cut = encoded.select("id", "b", F.explode(_starts("line")).alias("at")).select("id", F.hash(F.substring("b", F.col("at"), F.lit(4 * WIDTH))).cast("long").alias("h"))
+    """id, cells (of ``SEEN`` filled) and the band keys k0, k1, ... from the shingles whose hash is divisible by rate; lines without one are left out.
+
+    Signatures, which only propose pairs, slice two bytes a character, half of what the exact test hashes. A character
+    beyond U+FFFF counts as two there: shingles with one in them say less, so that alike lines agree in no fewer.
+    """
+    encoded = lines.select("id", F.encode("line", "UTF-16BE").alias("b"))  # before the explode: once a line
+    starts = F.sequence(F.lit(1), F.greatest(F.octet_length("b") - (2 * WIDTH - 1), F.lit(1)), F.lit(2))
+    cut = encoded.select("id", "b", F.explode(starts).alias("at")).select("id", F.hash(F.substring("b", F.col("at"), F.lit(2 * WIDTH))).cast("long").alias("h"))
     if rate > 1:
         cut = cut.where(F.col("h").bitwiseAND(F.lit(rate - 1)) == 0)
     # products of 32 and 31 bits can't overflow; xor with seeds would leave minima of short lines dependent
@@ -73,14 +78,14 @@ def signatures(lines: DataFrame, rate: int, bands: int) -> DataFrame:
     return signature.select("id", "cells", *keys)
 
 
-def bands(lines: DataFrame) -> DataFrame:
-    """(key, id): the band keys of every distinct line."""
+def bands(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(key, id): the band keys of every distinct line; and the saved tables that they are read from."""
     sampled = save(signatures(lines, RATE, SAMPLED_BANDS), "sampled")
     # of the lines that gave no sampled shingle, or few
     few = lines.select("id", "line").join(sampled.where(F.col("cells") > FEW).select("id").hint("shuffle_hash"), "id", "left_anti")
     every = save(signatures(few, 1, BANDS), "few")
     keys = lambda n: F.explode(F.array(*(f"k{b}" for b in range(n)))).alias("key")
-    return sampled.where(F.col("cells") >= ENOUGH).select(keys(SAMPLED_BANDS), "id").unionByName(every.select(keys(BANDS), "id"))
+    return sampled.where(F.col("cells") >= ENOUGH).select(keys(SAMPLED_BANDS), "id").unionByName(every.select(keys(BANDS), "id")), [sampled, every]
 
 
 def _starts(line: str) -> Column:
@@ -113,7 +118,8 @@ def similar(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, gone): the line numbers to drop, ascending, of each document that loses a line."""
     lines = distinct_lines(docs)
-    linked = link_groups(bands(lines), lambda pairs, known: similar(pairs, known, percent), lambda ids: texts(lines, ids), _shingles("payload"), percent)
+    members, read = bands(lines)
+    linked = link_groups(members, lambda pairs, known: similar(pairs, known, percent), lambda ids: texts(lines, ids), _shingles("payload"), percent, read)
     several = lines.select("id", "first", "n").join(linked, "id", "left").where("component is not null or n > 1")
     several = save(several.select("id", "first", F.coalesce("component", "id").alias("group")), "several")
     first = several.groupBy("group").agg(F.min("first").alias("d"))

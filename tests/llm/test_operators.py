@@ -156,6 +156,42 @@ def test_lines_at_the_threshold(make_docs):
     assert sum(n for _, n in got) >= 0.98 * len(pairs)
 
 
+def test_lines_beyond_the_basic_plane(make_docs):
+    rng = random.Random(21)
+    some = lambda n, lo, hi: "".join(chr(rng.randrange(lo, hi)) for _ in range(n))
+    pairs = []
+    for k in range(300):  # such characters take two places in a signature: alone, among others, only in one line
+        length, other = ((60, 5), (100, 9), (300, 32))[k % 3]
+        x = some(length, 0x1F300, 0x1F600) if k % 2 else some(length // 2, 0x61, 0x7B) + some(length - length // 2, 0x1F300, 0x1F600)
+        x = some(length, 0x61, 0x7B) if k % 5 == 0 else x
+        pairs.append((x, x[:-other] + some(other, 0x1F300, 0x1F600)))
+    want = [100 * len(shingle_set(a) & shingle_set(b)) >= 80 * len(shingle_set(a) | shingle_set(b)) for a, b in pairs]
+    assert all(want)
+    got = rows(line_dedup.summary(make_docs([(i, f"{a}\n{b}") for i, (a, b) in enumerate(pairs)])), "doc_id", "n_removed")
+    assert sum(n for _, n in got) >= 0.98 * len(pairs)
+
+
+def test_lines_are_signed_at_two_bytes_a_character(make_docs, spark):
+    lines = spark.createDataFrame([(1, "x" * 40)], "id long, line string")
+    plan = line_dedup.signatures(lines, 4, 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert "UTF-16BE" in plan and "UTF-32" not in plan
+
+
+def test_members_are_exchanged_once(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def look(df, name):
+        assert name == "groups"
+        assert rows(df, "key", "id", "n") == [(1, 10, 2), (1, 11, 2)]
+        raise Seen(df._jdf.queryExecution().executedPlan().toString())
+
+    monkeypatch.setattr(components, "save", look)
+    members = spark.createDataFrame([(1, 10), (1, 11), (2, 10)], "key long, id long")
+    with pytest.raises(Seen, match="ReusedExchange"):
+        components.link_groups(members, None, None, None, 80)
+
+
 def test_parities_bound_the_difference(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(63) for _ in range(300)]
