@@ -5,7 +5,8 @@ from __future__ import annotations
 import pickle
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile leaves no shuffle files: else they lie there until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meshrel-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _cleaned(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._meshrel_path = path
     return out
@@ -38,7 +52,8 @@ def save_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """The same, in as many buckets by a key as there are shuffle partitions: joins and groups by the key exchange only the other side."""
     spark = df.sparkSession
     path, at = f"{shared_dir(spark)}/meshrel-{name}-{uuid.uuid4().hex}", f"meshrel_{uuid.uuid4().hex}"
-    df.write.bucketBy(parts(spark), key).option("path", path).format("parquet").saveAsTable(at)
+    with _cleaned(spark):
+        df.write.bucketBy(parts(spark), key).option("path", path).format("parquet").saveAsTable(at)
     out = spark.table(at)
     out._meshrel_path = path
     return out

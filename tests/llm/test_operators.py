@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshrel.llm import components as C
-from meshrel.llm import components, embedding_dedup, language_mixture, line_dedup, minhash_dedup, packing, quality_knn, quality_rules, sentencepiece_viterbi, substring_dedup, toxicity_cnn
+from meshrel.llm import components, embedding_dedup, language_mixture, line_dedup, minhash_dedup, packing, quality_knn, quality_rules, sentencepiece_viterbi, substring_dedup, tables, toxicity_cnn
 from meshrel.llm import kernels as K
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -192,6 +193,18 @@ def test_members_are_exchanged_once(spark, monkeypatch):
         components.link_groups(members, None, None, None, 80)
 
 
+def test_saved_tables_leave_no_shuffle_files(spark):
+    made = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
+    for keep in (tables.save, lambda df, name: tables.save_bucketed(df, name, "k")):
+        before = made()
+        out = keep(spark.range(1000).selectExpr("id % 7 as k").groupBy("k").count(), "test")
+        end = time.time() + 20  # files go in the background
+        while made() - before and time.time() < end:
+            time.sleep(0.2)
+        assert not made() - before
+        assert out.count() == 7
+
+
 def test_parities_bound_the_difference(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(63) for _ in range(300)]
