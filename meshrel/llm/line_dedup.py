@@ -63,7 +63,7 @@ def signatures(lines: DataFrame, rate: int, bands: int) -> DataFrame:
     """id, cells (of ``SEEN`` filled) and the band keys k0, k1, ... from the shingles whose hash is divisible by rate; lines without one are left out.
 
     Signatures, which only propose pairs, slice two bytes a character, half of what the exact test hashes. A character
-    beyond U+FFFF counts as two there: shingles with one in them say less, so that alike lines agree in no fewer.
+    beyond U+FFFF counts as two there, so that shingles with one in them span fewer characters; a test holds their recall.
     """
     encoded = lines.select("id", F.encode("line", "UTF-16BE").alias("b"))  # before the explode: once a line
     starts = F.sequence(F.lit(1), F.greatest(F.octet_length("b") - (2 * WIDTH - 1), F.lit(1)), F.lit(2))
