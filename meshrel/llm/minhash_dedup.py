@@ -60,23 +60,33 @@ def shingles(data: np.ndarray, offs: np.ndarray, width: int) -> tuple[np.ndarray
 def sketch(h: np.ndarray, borders: np.ndarray) -> np.ndarray:
     """Texts x COORDINATES; rows of empty sets are zero."""
     t, rows = COORDINATES, len(borders) - 1
-    out = np.full(rows * t, np.uint64(2**64 - 1))
+    unset = np.uint64(2**64 - 1)
+    out = np.full(rows * t, unset)
     size = np.diff(borders)
     row = np.repeat(np.arange(rows), size)
-    open_ = size > 0
+    left = np.flatnonzero(size > 0)  # texts with coordinates to fill
     value_mask, top = np.uint64((1 << 54) - 1), np.uint64(54)
     for r in range(2 * t):
-        if not open_.any():
+        if not len(left):
             break
-        live = open_[row]
-        x = K.mix(h[live] * _ROUND[r] + np.uint64(r))
+        x = K.mix(h * _ROUND[r] + np.uint64(r))
         if r < t:
             place = ((x >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32)
         else:
             place = np.full(len(x), r - t, np.uint64)
+        at = row * t + place.astype(np.int64)
+        if r:  # a coordinate filled by an earlier round stays
+            free = out[at] == unset
+            at, x = at[free], x[free]
         value = (np.uint64(min(r, 1000)) << top) | (K.mix(x) & value_mask)
-        np.minimum.at(out, row[live] * t + place.astype(np.int64), value)
-        open_ &= (out.reshape(rows, t) == np.uint64(2**64 - 1)).any(1)
+        np.minimum.at(out, at, value)
+        more = (out.reshape(rows, t)[left] == unset).any(1)
+        if not more.all():
+            left = left[more]
+            open_ = np.zeros(rows, bool)
+            open_[left] = True
+            live = open_[row]
+            h, row = h[live], row[live]
     out = out.reshape(rows, t)
     out[size == 0] = 0
     return out

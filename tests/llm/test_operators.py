@@ -472,6 +472,24 @@ def test_minhash_brute_force(make_docs, odd, width):
     assert minhash_dedup.components(make_docs([])).count() == 0
 
 
+def test_sketch_hashes_only_for_open_coordinates(monkeypatch):
+    rng, t, sizes = np.random.default_rng(3), minhash_dedup.COORDINATES, [0, 1, 3, 300, 2000]
+    sets = [rng.integers(0, 2**64, n, dtype=np.uint64) for n in sizes]
+    mixed, mix = [], K.mix
+    with monkeypatch.context() as m:
+        m.setattr(K, "mix", lambda x: mixed.append(len(x)) or mix(x))
+        got = minhash_dedup.sketch(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+    assert sum(mixed[1::2]) < sum(sizes) + 2 * t * len(sizes)  # places and values take turns
+    for x, found in zip(sets[1:], got[1:], strict=True):
+        want = np.full(t, np.uint64(2**64 - 1))
+        for r in range(2 * t):  # every round, every shingle
+            y = mix(x * minhash_dedup._ROUND[r] + np.uint64(r))
+            place = ((y >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32) if r < t else np.full(len(x), r - t, np.uint64)
+            np.minimum.at(want, place.astype(np.int64), (np.uint64(r) << np.uint64(54)) | (mix(y) & np.uint64((1 << 54) - 1)))
+        assert (found == want).all()
+    assert not got[0].any()
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(4)
     h = rng.integers(1, 2**63, 1200).astype(np.uint64)
