@@ -89,7 +89,8 @@ def link_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], Dat
     tested = save(verify(stars, held), "tested")
     found = tested.where("ok").select("a", "b")
     labels = connected_components(found)
-    placed = shared.join(labels, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("c"))
+    # centres have been tested against all members of their groups: what is left are pairs of others
+    placed = shared.where("id <> m").join(labels, "id", "left").select("key", "id", "m", F.coalesce("component", "id").alias("c"))
     counts = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("key").agg(F.count("*").alias("several"), F.max(F.struct("n", "c")).alias("top")).where("several > 1").select("key", F.col("top.c").alias("main"))
     placed = placed.join(mixed, "key").join(tested.select(F.col("a").alias("id"), F.col("b").alias("m"), "similarity"), ["id", "m"])

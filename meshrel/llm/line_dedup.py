@@ -67,7 +67,10 @@ def signatures(lines: DataFrame, rate: int, bands: int) -> DataFrame:
     """
     encoded = lines.select("id", F.encode("line", "UTF-16BE").alias("b"))  # before the explode: once a line
     starts = F.sequence(F.lit(1), F.greatest(F.octet_length("b") - (2 * WIDTH - 1), F.lit(1)), F.lit(2))
-    cut = encoded.select("id", "b", F.explode(starts).alias("at")).select("id", F.hash(F.substring("b", F.col("at"), F.lit(2 * WIDTH))).cast("long").alias("h"))
+    h = F.hash(F.substring("b", F.col("at"), F.lit(2 * WIDTH))).cast("long")
+    if rate > 1:
+        h = h + 0 * F.spark_partition_id()  # adds nothing, but holds the filter above it: below, each hash that passes would be computed again
+    cut = encoded.select("id", "b", F.explode(starts).alias("at")).select("id", h.alias("h"))
     if rate > 1:
         cut = cut.where(F.col("h").bitwiseAND(F.lit(rate - 1)) == 0)
     # products of 32 and 31 bits can't overflow; xor with seeds would leave minima of short lines dependent
@@ -93,12 +96,16 @@ def _starts(line: str) -> Column:
     return F.sequence(F.lit(1), 4 * F.greatest(F.length(line) - (WIDTH - 1), F.lit(1)) - 3, F.lit(4))
 
 
-def _shingles(line: str) -> Column:
-    """Hashes of the distinct shingles. At four bytes a character every slice is found at once, wherever it starts."""
+def _hashes(line: str) -> Column:
+    """Hashes of all shingles, repeats too. At four bytes a character every slice is found at once, wherever it starts."""
     at = _starts(line)
     # the outer transform encodes once; within the inner one it would happen for every slice
-    cut = F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(at, lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * WIDTH)))))
-    return F.array_distinct(cut[0])
+    return F.transform(F.array(F.encode(line, "UTF-32")), lambda b: F.transform(at, lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * WIDTH)))))[0]
+
+
+def _shingles(line: str) -> Column:
+    """Hashes of the distinct shingles."""
+    return F.array_distinct(_hashes(line))
 
 
 def texts(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -110,9 +117,9 @@ def similar(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """similarity and ok of each pair (a, b) of line hashes, from all shingles of their texts (id, payload)."""
     both = pairs.join(known.select(F.col("id").alias("a"), F.col("payload").alias("x")), "a")
     both = both.join(known.select(F.col("id").alias("b"), F.col("payload").alias("y")), "b")
-    sets = both.select("a", "b", _shingles("x").alias("p"), _shingles("y").alias("q"))
-    common = sets.select("a", "b", F.size(F.array_intersect("p", "q")).alias("c"), (F.size("p") + F.size("q")).alias("s"))
-    return common.select("a", "b", (F.col("c") / (F.col("s") - F.col("c"))).alias("similarity"), (100 * F.col("c") >= percent * (F.col("s") - F.col("c"))).alias("ok"))
+    sets = both.select("a", "b", _hashes("x").alias("p"), _hashes("y").alias("q"))
+    common = sets.select("a", "b", F.size(F.array_intersect("p", "q")).alias("c"), F.size(F.array_union("p", "q")).alias("u"))  # both without repeats
+    return common.select("a", "b", (F.col("c") / F.col("u")).alias("similarity"), (100 * F.col("c") >= percent * F.col("u")).alias("ok"))
 
 
 def removed(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

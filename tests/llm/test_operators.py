@@ -193,6 +193,45 @@ def test_members_are_exchanged_once(spark, monkeypatch):
         components.link_groups(members, None, None, None, 80)
 
 
+def test_sampled_signatures_hash_a_shingle_once(spark):
+    lines = spark.createDataFrame([(1, "x" * 40)], "id long, line string")
+    plan = line_dedup.signatures(lines, 4, 9)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"(?<!xx)hash\(", plan)) == 1
+
+
+def test_line_sets_count_repeats_once(spark):
+    lines = ["abcdefghijkl" * 6, "abcdefghijkl" * 6 + "x", "aaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaa", "short", "other"]
+    known = spark.createDataFrame(list(enumerate(lines)), "id long, payload string")
+    pairs = spark.createDataFrame([(a, b) for a in range(6) for b in range(6)], "a long, b long")
+    frame = line_dedup.similar(pairs, known, 80)
+    assert "array_distinct" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    for r in frame.collect():
+        x, y = shingle_set(lines[r["a"]]), shingle_set(lines[r["b"]])
+        assert r["similarity"] == len(x & y) / len(x | y) and r["ok"] == (100 * len(x & y) >= 80 * len(x | y))
+
+
+def test_groups_that_their_centre_settles_are_not_crossed(spark, monkeypatch):
+    crossed, save = [], tables.save
+
+    def look(df, name):
+        out = save(df, name)
+        crossed.extend(rows(out, "id") if name == "mixed" else [])
+        return out
+
+    monkeypatch.setattr(components, "save", look)
+    payloads = {10: "p", 11: "q", 20: "r", 21: "s", 22: "t"}
+    members = spark.createDataFrame([(1, 10), (1, 11), (2, 20), (2, 21), (2, 22)], "key long, id long")
+
+    def verify(pairs, known):  # only 21 and 22 are alike, and neither is the centre
+        ok = "least(a, b) = 21 and greatest(a, b) = 22"
+        return pairs.selectExpr("a", "b", "0.7D as similarity", f"{ok} as ok")
+
+    known = spark.createDataFrame(list(payloads.items()), "id long, payload string")
+    found = components.link_groups(members, verify, lambda ids: known.join(ids, "id", "left_semi"), F.array(F.xxhash64(F.lit("same"))), 80)
+    assert rows(found, "id", "component") == [(21, 21), (22, 21)]
+    assert sorted(crossed) == [(21,), (22,)]  # 11 has met the only other member of its group
+
+
 def test_saved_tables_leave_no_shuffle_files(spark):
     made = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+", spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")))
     for keep in (tables.save, lambda df, name: tables.save_bucketed(df, name, "k")):
