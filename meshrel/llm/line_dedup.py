@@ -1,15 +1,17 @@
 """Fuzzy line dedup by MinHash, in DataFrame functions only.
 
 Lines are the \\n-split lines of all texts. Equal lines are one line of several
-places. A line's set holds its character shingles of ``WIDTH`` characters; the
-signature takes the minima of ``ROWS`` hash functions for each of ``SAMPLED_BANDS``
-bands over those of them whose own hash falls to one in ``RATE``, so which are
-taken follows from what they say, never from where they stand. ``SEEN`` cells tell
-how many different ones were met; sets of few (up to ``FEW`` cells) are signed over
-all shingles in ``BANDS`` bands, and those in between (from ``ENOUGH``) both ways, so
-that alike sets meet in one kind of signature at least. A sample has more bands, to
-miss no more pairs than whole sets do: of pairs at exactly 0.8, whole sets miss 1.4 %,
-a pair that meets in samples only has 24 shingles in them or more and misses 1.0 %. Lines that agree in a band are tested by the exact
+places. A line's set holds its character shingles of ``WIDTH`` characters; those of
+them whose own hash falls to one in ``RATE`` are dealt out by that hash among
+``SAMPLED_BANDS`` bands, and the signature takes the minima of ``ROWS`` hash functions
+over each band's share, so what a band holds follows from what the shingles say, never
+from where they stand. A share of one shingle gives no key: it would bring together all
+lines with one common phrase. ``SEEN`` cells tell how many different ones were met; sets
+of few (up to ``FEW`` cells) are signed over all shingles in ``BANDS`` bands, each from
+minima of its own, and those in between (from ``ENOUGH``) both ways, so that alike sets
+meet in one kind of signature at least. Of pairs at exactly 0.8, whole sets miss 1.4 %;
+a pair that meets in samples only has 24 shingles in them or more and misses 0.3 % there
+and up to 0.7 % in long lines. Lines that agree in a band are tested by the exact
 Jaccard similarity of their whole sets, linked, and joined to components by
 repeated contraction; the first place (smallest id, then line number) of each
 component stays.
@@ -33,7 +35,7 @@ from .tables import discard, save, save_bucketed
 WIDTH = 12
 ROWS = 3
 BANDS = 6
-SAMPLED_BANDS = 9
+SAMPLED_BANDS = 7
 PERCENT = 80
 RATE = 4  # a power of two
 SEEN = 64
@@ -62,6 +64,9 @@ def distinct_lines(docs: DataFrame) -> DataFrame:
 def signatures(lines: DataFrame, rate: int, bands: int) -> DataFrame:
     """id, cells (of ``SEEN`` filled) and the band keys k0, k1, ... from the shingles whose hash is divisible by rate; lines without one are left out.
 
+    Over a sample, each shingle counts in one band alone, and keys of bands with less than two are null: a minimum for
+    every band of every shingle would cost three times as much. Of all shingles, each counts in every band.
+
     Signatures, which only propose pairs, slice two bytes a character, half of what the exact test hashes. A character
     beyond U+FFFF counts as two there, so that shingles with one in them span fewer characters; a test holds their recall.
     """
@@ -71,14 +76,19 @@ def signatures(lines: DataFrame, rate: int, bands: int) -> DataFrame:
     if rate > 1:
         h = h + 0 * F.spark_partition_id()  # adds nothing, but holds the filter above it: below, each hash that passes would be computed again
     cut = encoded.select("id", "b", F.explode(starts).alias("at")).select("id", h.alias("h"))
-    if rate > 1:
-        cut = cut.where(F.col("h").bitwiseAND(F.lit(rate - 1)) == 0)
     # products of 32 and 31 bits can't overflow; xor with seeds would leave minima of short lines dependent
-    least = [F.min((F.col("h") * F.lit(_seed(k)).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{k}") for k in range(ROWS * bands)]
+    least = [F.min((F.col("h") * F.lit(_seed(k)).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"m{k}") for k in range(ROWS if rate > 1 else ROWS * bands)]
     cell = F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(SEEN - 1)).cast("int")
-    signature = cut.groupBy("id").agg(F.bit_count(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell))).alias("cells"), *least)
-    keys = [F.xxhash64(F.lit(rate), F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))).alias(f"k{b}") for b in range(bands)]
-    return signature.select("id", "cells", *keys)
+    cells = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), cell)).alias("cells")
+    if rate == 1:
+        signature = cut.groupBy("id").agg(cells, *least)
+        keys = [F.xxhash64(F.lit(rate), F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))).alias(f"k{b}") for b in range(bands)]
+        return signature.select("id", F.bit_count("cells").alias("cells"), *keys)
+    band = F.shiftright(F.shiftrightunsigned("h", 16).bitwiseAND(F.lit(0xFFFF)) * F.lit(bands), 16).cast("int")  # other bits than those of rate and cells
+    shares = cut.where(F.col("h").bitwiseAND(F.lit(rate - 1)) == 0).groupBy("id", band.alias("band")).agg(cells, *least)
+    key = F.when(F.bit_count("cells") > 1, F.xxhash64(F.lit(rate), "band", *(f"m{r}" for r in range(ROWS))))
+    shares = shares.select("id", "band", "cells", key.alias("key"))
+    return shares.groupBy("id").agg(F.bit_count(F.bit_or("cells")).alias("cells"), *(F.max(F.when(F.col("band") == b, F.col("key"))).alias(f"k{b}") for b in range(bands)))
 
 
 def bands(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -88,7 +98,8 @@ def bands(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     few = lines.select("id", "line").join(sampled.where(F.col("cells") > FEW).select("id").hint("shuffle_hash"), "id", "left_anti")
     every = save(signatures(few, 1, BANDS), "few")
     keys = lambda n: F.explode(F.array(*(f"k{b}" for b in range(n)))).alias("key")
-    return sampled.where(F.col("cells") >= ENOUGH).select(keys(SAMPLED_BANDS), "id").unionByName(every.select(keys(BANDS), "id")), [sampled, every]
+    dealt = sampled.where(F.col("cells") >= ENOUGH).select(keys(SAMPLED_BANDS), "id").where("key is not null")
+    return dealt.unionByName(every.select(keys(BANDS), "id")), [sampled, every]
 
 
 def _starts(line: str) -> Column:

@@ -199,6 +199,25 @@ def test_sampled_signatures_hash_a_shingle_once(spark):
     assert len(re.findall(r"(?<!xx)hash\(", plan)) == 1
 
 
+def test_sampled_shingles_count_in_one_band(spark):
+    rng = random.Random(33)
+    some = lambda n: "".join(chr(rng.randrange(0x61, 0x7B)) for _ in range(n))
+    pairs = [(x, x[: -n // 8] + some(n // 8)) for n in (130, 200, 400) for x in (some(n) for _ in range(200))]
+    lines = spark.createDataFrame([(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)], "id long, line string")
+    frame = line_dedup.signatures(lines, line_dedup.RATE, line_dedup.SAMPLED_BANDS)
+    assert len(re.findall(r"\bmin\(", frame._jdf.queryExecution().optimizedPlan().toString())) == line_dedup.ROWS
+    keys = {r["id"]: {r[f"k{b}"] for b in range(line_dedup.SAMPLED_BANDS)} - {None} for r in frame.collect()}
+    assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(pairs))) >= 0.98 * len(pairs)
+
+
+def test_common_phrase_alone_gives_no_key(spark):
+    frame = line_dedup.signatures(spark.createDataFrame([(i, chr(0x61 + i) * 300) for i in range(26)], "id long, line string"), 1, 2)
+    assert all(r["cells"] == 1 and r["k0"] is not None for r in frame.collect())  # whole sets are signed whatever their size
+    frame = line_dedup.signatures(spark.createDataFrame([(i, chr(0x61 + i) * 300) for i in range(26)], "id long, line string"), 2, 2)
+    found = frame.collect()
+    assert found and all(r["cells"] == 1 and r["k0"] is None and r["k1"] is None for r in found)
+
+
 def test_line_sets_count_repeats_once(spark):
     lines = ["abcdefghijkl" * 6, "abcdefghijkl" * 6 + "x", "aaaaaaaaaaaaaaaaaaaa", "aaaaaaaaaaaa", "short", "other"]
     known = spark.createDataFrame(list(enumerate(lines)), "id long, payload string")
