@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +38,34 @@ def _cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+def trim(spark: SparkSession) -> bool:
+    """Has the driver's JVM give back the native memory that it has freed; False where it can't (JDK 17 on glibc can).
+
+    Spark starts a thread for each exchange that it plans and keeps it for a minute; over many small tables there
+    are hundreds, and what their allocations leave lies in the allocator's arenas, outside the heap and its collector.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    named = jvm.java.lang.Class.forName
+    kinds = ["javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;"]
+    types, given = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    try:
+        for i, kind in enumerate(kinds):
+            types[i] = named(kind)
+        given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # by the interface: the server's own class can't be reached from outside its module
+        named("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), given)
+    except Py4JError:
+        return False
+    return True
+
+
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes a table into the shared folder and reads it back: lineage ends here and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/meshrel-{name}-{uuid.uuid4().hex}"
     with _cleaned(spark):
         df.write.parquet(path)
+    trim(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._meshrel_path = path
     return out
@@ -54,6 +77,7 @@ def save_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     path, at = f"{shared_dir(spark)}/meshrel-{name}-{uuid.uuid4().hex}", f"meshrel_{uuid.uuid4().hex}"
     with _cleaned(spark):
         df.write.bucketBy(parts(spark), key).option("path", path).format("parquet").saveAsTable(at)
+    trim(spark)
     out = spark.table(at)
     out._meshrel_path = path
     return out

@@ -263,6 +263,15 @@ def test_saved_tables_leave_no_shuffle_files(spark):
         assert out.count() == 7
 
 
+def test_saving_gives_native_memory_back(spark, monkeypatch):
+    assert tables.trim(spark)  # the JVM of the tests can
+    calls = []
+    monkeypatch.setattr(tables, "trim", calls.append)
+    assert tables.save(spark.range(3), "test").count() == 3
+    assert tables.save_bucketed(spark.range(3), "test", "id").count() == 3
+    assert calls == [spark, spark]
+
+
 def test_parities_bound_the_difference(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(63) for _ in range(300)]
